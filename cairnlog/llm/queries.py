@@ -6,14 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlog.llm import mixing, packing, sharding, simhash, sketch
+from cairnlog.llm import html_extract, mixing, packing, quality, secret_scan, sharding, simhash, sketch, toxicity
 from cairnlog.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.forest(spark))
+
+
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op3_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -23,6 +36,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited(table(spark, sf_dir, "documents"))
 
@@ -32,6 +50,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_temperature_mixing, op5_best_fit_packing, op6_simhash, op9_bottom_k, op10_rendezvous_sharding,
+    op1_secret_scan, op2_temperature_mixing, op3_consensus_extract, op4_byte_quality, op5_best_fit_packing, op6_simhash, op8_fuzzy_toxicity,
+    op9_bottom_k, op10_rendezvous_sharding,
 )}
 ORACLES: dict[str, str] = {}
