@@ -59,6 +59,10 @@ MARKS = frozenset(
     "newsletter subscribe subscription signup login signin form search searchbox share sharing social "
     "comment comments commentlist discussion disqus respond responses reply replies reviews feedback skip hidden".split()
 )
+#: What an article's own class may be marked with.
+ARTICLE_MARKS = frozenset("comment comments reply ad ads advert sponsored promo promoted related recommended teaser".split())
+#: A class or id that tells what a container has or lacks, not what it is.
+TELLS = re.compile(r"(?:no|has|with|without|is|not)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|true|false|layout|page)")
 WORD = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
@@ -70,7 +74,7 @@ HELD_BY = {"p": {"div", "article", "section", "td", "blockquote", "li"}, "li": {
 
 
 class Element:
-    __slots__ = ("tag", "path", "up", "dropped", "parts", "score", "heading", "title", "step")
+    __slots__ = ("tag", "path", "up", "dropped", "parts", "score", "heading", "step")
 
     def __init__(self, tag: str, step: str, up: Element | None, dropped: bool):
         self.tag, self.step, self.up, self.dropped = tag, step, up, dropped
@@ -81,8 +85,9 @@ class Element:
 
 
 def _words(value: str) -> set[str]:
-    value = value.lower()
-    return {*WORD.findall(value), *value.split()}
+    """Whole words of a class or id list, each name also as a whole."""
+    names = [n for n in value.lower().split() if not TELLS.fullmatch(n)]
+    return {*names, *(w for n in names for w in WORD.findall(n))}
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -98,7 +103,7 @@ def _is_dropped(tag: str, attrs: dict[str, str], up: Element) -> bool:
     if tag == "header":  # an article's own header has its title
         return not _inside_article(up)
     if tag in ("html", "body", "article", "main"):
-        return tag == "article" and not MARKS.isdisjoint(_words(attrs.get("class", "")))
+        return tag == "article" and not ARTICLE_MARKS.isdisjoint(_words(attrs.get("class", "")))
     marks = _words(attrs.get("class", "")) | _words(attrs.get("id", ""))
     return not MARKS.isdisjoint(marks)
 
@@ -178,7 +183,7 @@ def parse(page: str | None) -> tuple[Element, list[Element]]:
     return root, containers
 
 
-def _blocks(e: Element, out: list[str], line: list[str], only: bool = False) -> None:
+def _blocks(e: Element, out: list[str], line: list[str]) -> None:
     """The texts of e's blocks; the last, which may go on, stays in `line`. A stack, as pages may nest deeply."""
     todo = [(e, iter(e.parts))]
     while todo:
