@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from hashlib import md5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,7 @@ ARTICLE_MARKS = frozenset("comment comments reply ad ads advert sponsored promo
 #: A class or id that tells what a container has or lacks, not what it is.
 TELLS = re.compile(r"(?:no|has|with|without|is|not)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|true|false|layout|page)")
 WORD = re.compile(r"[a-z]+")
+LONG_PATH = 1000
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
 #: What an open element is closed by, besides its own end.
@@ -78,7 +80,10 @@ class Element:
 
     def __init__(self, tag: str, step: str, up: Element | None, dropped: bool):
         self.tag, self.step, self.up, self.dropped = tag, step, up, dropped
-        self.path = f"{up.path}>{step}" if up else step
+        above = up.path if up else ""
+        # a very long path goes on from its digest, so that deeply nested pages stay cheap
+        above = above if len(above) < LONG_PATH else md5(above.encode()).hexdigest()
+        self.path = f"{above}>{step}" if up else step
         self.parts: list = []  # strings, elements, and None for a block's edge
         self.score = 0.0
         self.heading = False
