@@ -89,6 +89,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
         .select("doc_id", "text", "_label")
     )
     got = {}
-    for r in found.toLocalIterator(prefetchPartitions=True):
+    for r in found.collect():  # one job; at most rows * max_bytes
         got.setdefault(r[0], (r[1], int(r[2])))
     return [got[k] for k in sorted(got)]
