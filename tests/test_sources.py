@@ -90,6 +90,7 @@ def test_runs(spark, tmp_path):
     assert sstable.newest(runs, keys[3]) is None and sstable.newest(runs, keys[500])[1] == b"new" and sstable.newest(runs, keys[501])[1] == b"old" + keys[501]
     assert runs[0].find(b"k00001") is None and runs[1].find(keys[0])[2]
     spark.dataSource.register(sstable.RunSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     df = spark.read.format("runs").option("path", str(tmp_path)).load()
     assert df.count() == 2501
     live = resolved(df, ["key"], ["seg"]).where("NOT deleted")
