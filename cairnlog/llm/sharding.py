@@ -37,14 +37,14 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (-(F.greatest(*best) if len(best) > 1 else best[0])["n"]).cast("int")
 
 
-def slots(rows: DataFrame, shard: str, key: Column, blocks: int = BLOCKS) -> DataFrame:
-    """`rows` with a column `slot`, gapless from 0 within each value of `shard`."""
+def slots(rows: DataFrame, shard: str, key: Column, ties: list[str], blocks: int = BLOCKS) -> DataFrame:
+    """`rows` with a column `slot`, gapless from 0 within each value of `shard`; rows of one key are told apart by `ties`."""
     text = F.coalesce(key.cast("string"), F.lit("null"))
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64(text, F.lit(101)), F.lit(blocks)).cast("int"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_block").orderBy(key)) - 1
+    rank = F.row_number().over(Window.partitionBy(shard, "_block").orderBy(key, *ties)) - 1
     return (
         dealt.withColumn("_rank", rank)
         .join(F.broadcast(cells), [shard, "_block"])  # at most shards * blocks rows
@@ -64,6 +64,6 @@ def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float =
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, grown_weight]).alias("grown_shard"),
     )
-    return slots(rows, "shard", F.col("doc_id"), blocks).select(
+    return slots(rows, "shard", F.col("doc_id"), ["size", "text_crc32"], blocks).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
