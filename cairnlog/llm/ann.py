@@ -102,6 +102,7 @@ class Index:
     def __init__(self, sample: np.ndarray, ids: np.ndarray, longest: float, wanted: int, target: float = TARGET, seed: int = 0):
         self.sample, self.ids, self.longest, self.wanted = sample, ids, longest, wanted
         self.forest = Forest(self.lengthened(sample), seed=seed)
+        self.leaf = self.forest.file(self.lengthened(sample))
         self.share = 1.0
         some = np.random.default_rng(seed + 1).permutation(len(sample))[:CALIBRATED_ON]
         if len(sample) > wanted + 1 and self.forest.depth:
@@ -109,11 +110,10 @@ class Index:
             score = q @ sample.T
             score[np.arange(len(some)), some] = -np.inf
             near = np.argpartition(-score, wanted - 1, 1)[:, :wanted]
-            leaf = self.forest.file(self.lengthened(sample))
             prio = self.forest.priorities(self.asked(q))
-            trees = np.arange(leaf.shape[1])
-            met = prio[np.arange(len(q))[:, None, None], trees[None, None, :], leaf[near]].max(2)
-            needed = np.maximum(0.0, -met) / self.bound(q, ids[some])[0][:, None]
+            trees = np.arange(self.leaf.shape[1])
+            met = prio[np.arange(len(q))[:, None, None], trees[None, None, :], self.leaf[near]].max(2)
+            needed = np.maximum(0.0, -met) / self.bound(self._scores(q, ids[some]), q)[:, None]
             self.share = min(1.0, float(np.quantile(needed, target)) + 1e-9)
 
     def lengthened(self, x: np.ndarray) -> np.ndarray:
@@ -123,23 +123,42 @@ class Index:
         """Queries scaled to the common length, which doesn't change their order of candidates."""
         return np.hstack([q * (self.longest / np.linalg.norm(q, axis=1))[:, None], np.zeros((len(q), 1))])
 
-    def bound(self, q: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each query the largest distance, and the least product, that its last wanted neighbour can have."""
-        if len(self.sample) <= self.wanted:
-            return np.full(len(q), np.inf), np.full(len(q), -np.inf)
+    def _scores(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """[query, sample]: products, without a query's own."""
         score = q @ self.sample.T
         score[ids[:, None] == self.ids[None, :]] = -np.inf
-        least = -np.partition(-score, self.wanted - 1, 1)[:, self.wanted - 1]
-        scaled = least * self.longest / np.linalg.norm(q, axis=1)
+        return score
+
+    def _last(self, score: np.ndarray) -> np.ndarray:
+        """The product of each query's last wanted neighbour among these; -inf where there are fewer."""
+        if score.shape[1] < self.wanted:
+            return np.full(len(score), -np.inf)
+        return -np.partition(-score, self.wanted - 1, 1)[:, self.wanted - 1]
+
+    def bound(self, score: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of each query the largest distance that its last wanted neighbour can have."""
+        last = self._last(score)
+        scaled = np.where(np.isfinite(last), last, 0.0) * self.longest / np.linalg.norm(q, axis=1)
         far = np.sqrt(np.maximum(1e-12, 2 * self.longest**2 - 2 * scaled))
-        return np.where(np.isfinite(least), far, np.inf), least
+        return np.where(np.isfinite(last), far, np.inf)
 
     def visits(self, q: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[query, tree * leaves]: the leaves that a query visits, and each query's least product of use."""
-        far, least = self.bound(q, ids)
+        """[query, tree * leaves]: the leaves that a query visits, and each query's least product of use.
+
+        That product is taken from sample vectors in visited leaves, which the search will meet, so as
+        many as wanted are always found. A query whose leaves have too few of them visits all.
+        """
+        score = self._scores(q, ids)
+        far = self.bound(score, q)
         prio = self.forest.priorities(self.asked(q))
         limit = np.where(np.isinf(far), -np.inf, -self.share * np.where(np.isinf(far), 1.0, far))
-        return (prio >= limit[:, None, None]).reshape(len(q), -1), least
+        seen = prio >= limit[:, None, None]
+        met = np.zeros(score.shape, bool)
+        for t in range(self.leaf.shape[1]):
+            met |= seen[:, t, self.leaf[:, t]]
+        least = self._last(np.where(met, score, -np.inf))
+        seen[np.isinf(least)] = True
+        return seen.reshape(len(q), -1), least
 
 
 def _valid(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:

@@ -25,9 +25,11 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,35 +50,52 @@ BLOCKS = 256
 PLAIN = re.compile("[\\t\\n\\r -\\xa9\\xab-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0132-\\u0148\\u014a-\\u017f\\u2010-\\u2027\\u20ac]*")
 
 
+#: The tokenizer's own pieces of a plain text without white space: what is between them is nothing.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
-    The tokenizer breaks at white space and looks at nothing across it, so the ids of a plain
-    text are those of its chunks. Known chunks are kept, up to `keep` of them.
+    The tokenizer breaks at white space and at word borders and looks at nothing across them, so the
+    ids of a plain text are those of its chunks, and a chunk's are those of its words. Known chunks
+    and words are kept, up to `keep` of each.
     """
 
     def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.words = keep, {}, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end token."""
         own = [t for t in texts if not self._plain(t)]
         slow = dict(zip(own, self._encode(own)))
         split = [None if t in slow else t.lower().split() for t in texts]
-        new = set().union(*(s for s in split if s is not None)).difference(self.known)
+        chunks = set().union(*(s for s in split if s is not None))
+        new = chunks.difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            new = set().union(*(s for s in split if s is not None))
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update(zip(part, self._encode(part)))
+            new = chunks
+        if new:
+            self._learn(list(new))
         known = self.known.__getitem__
         return [slow[t] if s is None else b"".join(map(known, s)) for t, s in zip(texts, split)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [(c,) if c.isalpha() else WORD.findall(c) for c in chunks]
+        words = set().union(*parts)
+        new = words.difference(self.words)
+        if len(self.words) + len(new) > self.keep:
+            self.words.clear()
+            new = words
+        new = list(new)
+        for i in range(0, len(new), 4096):
+            self.words.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
+        of = self.words.__getitem__
+        self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in zip(chunks, parts))
+
     @staticmethod
     def _plain(text: str) -> bool:
         return "<|" not in text and PLAIN.fullmatch(text) is not None
@@ -86,16 +105,20 @@ class ChunkTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> ChunkTokenizer:
+    """One for each worker process, so that its tasks share what is known."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
     last = end.to_bytes(4, "little")
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
@@ -212,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("_rank", rank).join(cells, ["length", "_block"])
     ranked = ranked.select(
         *cut.columns, F.shiftleft("length", 48).bitwiseOR(F.col("_before") + F.col("_rank")).alias("_key")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlog.llm import html_extract, mixing, packing, quality, secret_scan, sharding, simhash, sketch, toxicity
+from cairnlog.llm import ann, html_extract, mixing, packing, quality, secret_scan, sharding, simhash, sketch, toxicity
 from cairnlog.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 def op8_fuzzy_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
@@ -50,7 +54,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_temperature_mixing, op3_consensus_extract, op4_byte_quality, op5_best_fit_packing, op6_simhash, op8_fuzzy_toxicity,
+    op1_secret_scan, op2_temperature_mixing, op3_consensus_extract, op4_byte_quality, op5_best_fit_packing, op6_simhash, op7_projection_forest, op8_fuzzy_toxicity,
     op9_bottom_k, op10_rendezvous_sharding,
 )}
 ORACLES: dict[str, str] = {}
