@@ -192,7 +192,8 @@ class Detector:
             for w in WORDS.findall(c):
                 forms = {w, RUNS.sub(r"\1", w)}
                 if not w.isalpha() and not w.isdigit():
-                    forms |= {w.translate(LEET), re.sub(r"[^\w]", "", w.translate(LEET))}
+                    for spelled in (w, w.translate(LEET)):
+                        forms |= {spelled, re.sub(r"[^\w]", "", spelled)}
                 for f in forms:
                     of.setdefault(f, []).append(c)
         for w, hit in self.lexicon.match(list(of)).items():
