@@ -7,7 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def gathered_batches(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Successive batches as one, as long as `column` has no more than about `size` bytes in them together."""
+    held, have = [], 0
+    for b in batches:
+        n = b.column(column).nbytes
+        if held and have + n > size:
+            yield pa.concat_batches(held)
+            held, have = [], 0
+        held.append(b)
+        have += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

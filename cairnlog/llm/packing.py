@@ -33,10 +33,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnlog.llm.common import small_batches, written
+from cairnlog.llm.common import gathered_batches, small_batches, written
 
 CAPACITY = 4096
 END = 1
@@ -52,49 +53,85 @@ PLAIN = re.compile("[\\t\\n\\r -\\xa9\\xab-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u01
 
 #: The tokenizer's own pieces of a plain text without white space: what is between them is nothing.
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: How the vocabulary marks the last token of a word.
+WORD_END = "</w>"
+#: Characters of texts, and chunks of them, that are worked on at a time.
+AT_A_TIME, CHUNKS = 1 << 22, 1 << 20
 
 
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's own.
 
     The tokenizer breaks at white space and at word borders and looks at nothing across them, so the
-    ids of a plain text are those of its chunks, and a chunk's are those of its words. Known chunks
-    and words are kept, up to `keep` of each.
+    ids of a plain text are those of its chunks. A batch's distinct chunks are looked up once each,
+    new ones go to the tokenizer together, and the texts' ids are gathered by the chunks' numbers.
+    Known chunks are kept, up to `keep`.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known, self.words = keep, {}, {}
+        self.keep, self.known = keep, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends_word[i] = token.endswith(WORD_END)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end token."""
         own = [t for t in texts if not self._plain(t)]
         slow = dict(zip(own, self._encode(own)))
-        split = [None if t in slow else t.lower().split() for t in texts]
-        chunks = set().union(*(s for s in split if s is not None))
-        new = chunks.difference(self.known)
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            if t not in slow:
+                if some and size + len(t) > AT_A_TIME:
+                    out += self._gathered(some)
+                    some, size = [], 0
+                some.append(t)
+                size += len(t)
+        out += self._gathered(some) if some else []
+        plain = iter(out)
+        return [slow[t] if t in slow else next(plain) for t in texts]
+
+    def _gathered(self, texts: list[str]) -> list[bytes]:
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        each = list(map(self.known.get, distinct))
+        new = [i for i, ids in enumerate(each) if ids is None]
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            new = chunks
-        if new:
-            self._learn(list(new))
-        known = self.known.__getitem__
-        return [slow[t] if s is None else b"".join(map(known, s)) for t, s in zip(texts, split)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [(c,) if c.isalpha() else WORD.findall(c) for c in chunks]
-        words = set().union(*parts)
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > self.keep:
-            self.words.clear()
-            new = words
-        new = list(new)
         for i in range(0, len(new), 4096):
-            self.words.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
-        of = self.words.__getitem__
-        self.known.update((c, of(p[0]) if len(p) == 1 else b"".join(map(of, p))) for c, p in zip(chunks, parts))
+            part = new[i : i + 4096]
+            names = [distinct[j] for j in part]
+            learned = self._learned(names)
+            self.known.update(zip(names, learned))
+            for j, ids in zip(part, learned):
+                each[j] = ids
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat, first = np.frombuffer(b"".join(each), "<u4"), np.cumsum(n) - n
+        number, ids, ends = chunks.indices.to_numpy(), [], [np.zeros(1, np.int64)]
+        for i in range(0, len(number), CHUNKS):
+            k = number[i : i + CHUNKS]
+            end = np.cumsum(n[k])
+            ids.append(flat[np.repeat(first[k] - (end - n[k]), n[k]) + np.arange(end[-1])])
+            ends.append(end + ends[-1][-1])
+        raw = np.concatenate(ids).tobytes() if ids else b""
+        at = (4 * np.concatenate(ends)[split.offsets.to_numpy()]).tolist()
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def _learned(self, chunks: list[str]) -> list[bytes]:
+        """The ids of plain chunks, from one call: a chunk has as many word ends as words."""
+        ids = np.frombuffer(self._encode([" ".join(chunks)])[0], "<u4")
+        words = np.fromiter((1 if c.isalpha() else len(WORD.findall(c)) for c in chunks), np.int64, len(chunks))
+        ends = np.append(0, np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) - 1 != words.sum():  # another kind of vocabulary
+            return self._encode(chunks)
+        raw, at = ids.tobytes(), (4 * ends[np.append(0, np.cumsum(words))]).tolist()
+        return [raw[x:y] for x, y in zip(at, at[1:])]
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -119,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
 
     def run(batches):
         tokenizer = _tokenizer(tokenizer_path)
-        for b in batches:
+        for b in gathered_batches(batches, "text", AT_A_TIME):
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(tokenizer.ids(texts)):
