@@ -26,6 +26,8 @@ from cairnlog.llm.common import held_out, labelled_sample, small_batches
 
 #: The sample that the network is fitted on: rows at most, and bytes that a text of it may have.
 FIT_ROWS, FIT_BYTES = 3000, 12_000
+#: Passes over the sample, and the steps that a small sample's passes add up to at least.
+EPOCHS, LEAST_STEPS = 20, 800
 KEEP_AT = 0.3
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 STEP = 4  # bytes from one position to the next; a filter sees two steps
@@ -139,9 +141,10 @@ class ByteNet:
         g["E"][0] = 0
         return g
 
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, batch: int = 32, rate: float = 3e-3, seed: int = 1):
+    def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int = 32, rate: float = 3e-3, seed: int = 1):
         """Adam on the log loss."""
         r, labels = np.random.default_rng(seed), np.asarray(labels, np.float32)
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
         self.p["E"][0] = 0  # padding
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         var = {k: np.zeros_like(v) for k, v in self.p.items()}
