@@ -265,13 +265,15 @@ class Detector:
 
     def fit(self, texts: list[str], labels: list[int], steps: int = 30):
         """Words near a term that clean texts have are proper words; then the weights most likely under the priors (Newton steps)."""
-        words: dict[str, list[int]] = {}
-        for t, y in zip(texts, labels):
-            for w in set(WORDS.findall(t.lower())):
-                words.setdefault(w, [0, 0])[bool(y)] += 1
-        near = self.lexicon.match(list(words))
+        words: dict[str, list[int]] = {}  # near a term, not a term
+        for i in range(0, len(texts), 256):
+            have = [set(WORDS.findall(t.lower())) for t in texts[i : i + 256]]
+            near = {w for w, (_, far) in self.lexicon.match(list(set().union(*have))).items() if far}
+            for h, y in zip(have, labels[i : i + 256]):
+                for w in h & near:
+                    words.setdefault(w, [0, 0])[bool(y)] += 1
         rare = max(1, sum(labels)) / max(1, len(labels))
-        self.proper = frozenset(w for w, (_, far) in near.items() if far and words[w][0] and words[w][1] / sum(words[w]) < max(0.5, 2 * rare))
+        self.proper = frozenset(w for w, n in words.items() if n[0] and n[1] / sum(n) < max(0.5, 2 * rare))
         self.seen.clear(), self.hot.clear()
         x = np.hstack([np.ones((len(texts), 1)), self.features(texts)])
         y, tight = np.asarray(labels, float), np.diag(1 / PRIOR_WIDTH**2)
@@ -284,10 +286,17 @@ class Detector:
         return self
 
 
-def _families(texts: list[str]) -> tuple[list[set[str]], list[int]]:
-    """Each text's words, and a number that copies mostly share: the least hash of a word."""
-    have = [set(re.findall(r"[^\W\d_]{4,20}", t.lower())) for t in texts]
-    return have, [min((crc32(w.encode()) for w in h), default=0) for h in have]
+def _by_family(texts: list[str], labels: list[int], toxic: bool, kept) -> list[set[str]]:
+    """What `kept` keeps of the words of each family of texts with this label.
+
+    Texts that share the word with the least hash are a family, as copies mostly are.
+    """
+    out: dict[int, set[str]] = {}
+    for t, y in zip(texts, labels):
+        if bool(y) == toxic:
+            words = set(re.findall(r"[^\W\d_]{4,20}", t.lower()))
+            out.setdefault(min((crc32(w.encode()) for w in words), default=0), set()).update(kept(words))
+    return list(out.values())
 
 
 def mined_stems(texts: list[str], labels: list[int], limit: int = MAX_TERMS, support: int = 8) -> list[str]:
@@ -296,12 +305,14 @@ def mined_stems(texts: list[str], labels: list[int], limit: int = MAX_TERMS, sup
     In at least `support` and 3 % of the toxic texts, at most 15 % as common in others; of those that
     begin alike the most common one, and then the longest. A family of copies counts once.
     """
-    have, family = _families(texts)
-    starts = [{w[:k] for w in h for k in range(3, min(13, len(w)))} for h in have]
-    count = [Counter(s for s, _ in {(s, f) for p, f, y in zip(starts, family, labels) if bool(y) == toxic for s in p}) for toxic in (False, True)]
-    n_clean, n_toxic = (max(1, len({f for f, y in zip(family, labels) if bool(y) == toxic})) for toxic in (False, True))
-    least = max(support, 0.03 * n_toxic)
-    good = [(n, len(s), s) for s, n in count[1].items() if n >= least and count[0][s] / n_clean <= 0.15 * n / n_toxic]
+    toxic = _by_family(texts, labels, True, set)
+    count: dict[str, int] = {}
+    for k in range(3, 13):  # a longer beginning is no more common than a shorter one
+        here = Counter(s for h in toxic for s in {w[:k] for w in h if len(w) > k and (k == 3 or w[: k - 1] in count)})
+        count |= {s: n for s, n in here.items() if n >= max(support, 0.03 * len(toxic))}
+    clean = _by_family(texts, labels, False, lambda h: {w[:k] for w in h for k in range(3, min(13, len(w))) if w[:k] in count})
+    others = Counter(s for h in clean for s in h)
+    good = [(n, len(s), s) for s, n in count.items() if others[s] / max(1, len(clean)) <= 0.15 * n / len(toxic)]
     out: list[str] = []
     for _, _, s in sorted(good, reverse=True):
         if len(out) < limit and not any(s.startswith(o) or o.startswith(s) for o in out):
@@ -314,20 +325,21 @@ def mined(texts: list[str], labels: list[int], limit: int = MAX_TERMS, support:
 
     Words that begin with one of `stems` are left to them. A family of copies counts once.
     """
-    have, family = _families(texts)
-    have = [{w for w in h if not w.startswith(stems)} for h in have] if stems else have
-    clean = Counter(w for w, _ in {(w, f) for h, f, y in zip(have, family, labels) if not y for w in h})
-    n_clean = max(1, len({f for f, y in zip(family, labels) if not y}))
-    left = [(h, f) for h, f, y in zip(have, family, labels) if y]
-    n_toxic, out = max(1, len({f for _, f in left})), []
+    left = _by_family(texts, labels, True, lambda h: {w for w in h if not w.startswith(stems)} if stems else h)
+    n_toxic, out = max(1, len(left)), []
     least = max(support, 0.06 * n_toxic)
+    often = {w for w, n in Counter(w for h in left for w in h).items() if n >= least}
+    others = _by_family(texts, labels, False, often.intersection)
+    clean = Counter(w for h in others for w in h)
+    often = {w for w in often if clean[w] / max(1, len(others)) <= 0.02}
+    left = [h & often for h in left]
     while left and len(out) < limit:
-        count = Counter(w for w, _ in {(w, f) for h, f in left for w in h})
-        good = [(n, w) for w, n in count.items() if n >= least and clean[w] / n_clean <= 0.02 * n / n_toxic]
+        count = Counter(w for h in left for w in h)
+        good = [(n, w) for w, n in count.items() if n >= least and clean[w] / max(1, len(others)) <= 0.02 * n / n_toxic]
         if not good:
             break
         out.append(max(good)[1])
-        left = [(h, f) for h, f in left if out[-1] not in h]
+        left = [h for h in left if out[-1] not in h]
     return out
 
 
