@@ -43,8 +43,8 @@ CAPACITY = 4096
 END = 1
 #: Nodes that the search for one filling may visit before its incumbent stands.
 NODES = 2000
-#: Cells that the pieces of one length are dealt to for ranking.
-BLOCKS = 256
+#: Cells that the pieces of one length are dealt to for ranking, at least, and rows of a cell beyond which there are more.
+BLOCKS, BLOCK_ROWS = 256, 100_000
 
 #: Characters whose lower case, composition and word breaks need no context: chunks between white
 #: space can be tokenized one by one and kept. A text with any other goes to the tokenizer whole.
@@ -267,7 +267,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     cut = written(pieces(docs, tokenizer_path, capacity, end), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = places(plan(counts, capacity, nodes))
-    by_block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece"), F.lit(BLOCKS)).cast("int")
+    blocks = [max(BLOCKS, -(-counts.get(n, 0) // BLOCK_ROWS)) for n in range(capacity + 1)]
+    own = F.get(F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>"), F.col("length").cast("int"))
+    by_block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32"), own).cast("int")
     dealt = cut.withColumn("_block", by_block)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))

@@ -6,7 +6,8 @@ shard is added, so the new shard takes its share of keys and no key moves betwee
 
 Within a shard rows get gapless slots without sorting a shard in one task: rows are dealt to
 (shard, block) cells by a hash of the key, ranked inside their cell, and shifted by the number
-of rows in the shard's earlier cells. The table of cell sizes has at most shards * blocks rows.
+of rows in the shard's earlier cells. The table of cell sizes has at most shards * blocks rows; the
+blocks grow with the table, and beyond the least number of them it is joined without a hint.
 
 Defined results: a null key is a key of its own; a null text has no bytes (size 1, checksum of
 the empty text); repeated rows each get a slot; an empty table gives an empty result; columns
@@ -18,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells that the rows of one shard are dealt to for ranking.
-BLOCKS = 512
+#: Cells that the rows of one shard are dealt to for ranking, at least, and mean rows of a cell beyond which there are more.
+BLOCKS, BLOCK_ROWS = 512, 100_000
 
 
 def rendezvous(key: Column, weights: list[float]) -> Column:
@@ -47,14 +48,16 @@ def slots(rows: DataFrame, shard: str, key: Column, ties: list[str], blocks: int
     rank = F.row_number().over(Window.partitionBy(shard, "_block").orderBy(key, *ties)) - 1
     return (
         dealt.withColumn("_rank", rank)
-        .join(F.broadcast(cells), [shard, "_block"])  # at most shards * blocks rows
+        .join(F.broadcast(cells) if blocks <= BLOCKS else cells, [shard, "_block"])  # at most shards * blocks rows
         .withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
         .drop("_block", "_rank", "_before")
     )
 
 
-def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, blocks: int = BLOCKS) -> DataFrame:
+def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float = 1.0, blocks: int | None = None) -> DataFrame:
     """Law `key`: doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard with one more of `grown_weight`)."""
+    if blocks is None:  # the table is counted, which reads no column
+        blocks = max(BLOCKS, -(-docs.select().count() // (len(weights) * BLOCK_ROWS)))
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
