@@ -255,7 +255,8 @@ def forest(spark: SparkSession, findings: list[dict] | None = None) -> Forest:
 def _scanned(docs: DataFrame, trees: Forest) -> DataFrame:
     """docs with _scan_pieces and _scan_found: array of (n, before, value, after, score)."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
-    docs = docs.withColumn("_scan_pieces", pieces(F.col("text").cast("string")))
+    # a generator's output is computed once for each row; as a plain column the optimizer would copy it into filters
+    docs = docs.select("*", F.explode(F.array(pieces(F.col("text").cast("string")))).alias("_scan_pieces"))
     many = F.coalesce(((F.size("_scan_pieces") - 1) / 2).cast("int"), F.lit(0))
 
     def finding(n: Column) -> Column:
@@ -280,7 +281,7 @@ def scan(docs: DataFrame, trees: Forest, secret_at: float = SECRET_AT) -> DataFr
     doc_id, n (from 0), start and length (code points of the text), sha256 of the candidate, score and is_secret.
     """
     rows = docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []))
-    rows = _scanned(rows, trees).where("_scan_found IS NOT NULL")
+    rows = _scanned(rows, trees).where(F.size("_scan_pieces") > 1)
     rows = rows.withColumn("_scan_lengths", F.transform("_scan_pieces", lambda p: F.length(p).cast("long")))
     last = F.floor((F.size("_scan_lengths") - 1) / 256).cast("int")
     block = lambda b: F.reduce(F.slice("_scan_lengths", b * 256 + 1, F.lit(256)), F.lit(0).cast("long"), lambda s, x: s + x)
