@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(rows: DataFrame, order: str, value: Column, out: str, span: int = 4096) -> DataFrame:
+def running_total(rows: DataFrame, order: str, value: Column, out: str, span: int = 4096, levels: int = 2) -> DataFrame:
     """rows with `out`: the sum of value over the rows before, in the order of a whole-number column.
 
-    Rows are summed inside spans of the order column; only the spans' sums, one row for `span` numbers
-    of it, are ordered in one place.
+    Rows are summed inside spans of the order column, and the spans' sums in the same way, for so many
+    levels. Only the last level's sums, one row for span ** levels numbers, are ordered in one place.
     """
-    rows = rows.withColumns({"_span": F.floor(F.col(order) / span).cast("long"), "_value": value.cast("long")})
+    near, own, inner, base = (f"_{name}{levels}" for name in ("span", "value", "inside", "base"))
     ahead = Window.unboundedPreceding, -1
-    sums = rows.groupBy("_span").agg(F.sum("_value").alias("_sum"))
-    sums = sums.select("_span", F.coalesce(F.sum("_sum").over(Window.orderBy("_span").rowsBetween(*ahead)), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum("_value").over(Window.partitionBy("_span").orderBy(order).rowsBetween(*ahead)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(sums, "_span").withColumn(out, F.col("_base") + F.col("_inside")).drop("_span", "_value", "_base", "_inside")
+    before = lambda c, window: F.coalesce(F.sum(c).over(window.rowsBetween(*ahead)), F.lit(0))
+    rows = rows.withColumns({near: F.floor(F.col(order) / span).cast("long"), own: value.cast("long")})
+    sums = rows.groupBy(near).agg(F.sum(own).alias("_sum"))
+    if levels > 1:
+        sums = running_total(sums, near, F.col("_sum"), base, span, levels - 1)
+    else:
+        sums = sums.withColumn(base, before("_sum", Window.orderBy(near)))
+    inside = rows.withColumn(inner, before(own, Window.partitionBy(near).orderBy(order)))
+    return inside.join(sums.drop("_sum"), near).withColumn(out, F.col(base) + F.col(inner)).drop(near, own, inner, base)

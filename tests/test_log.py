@@ -214,11 +214,14 @@ def test_greedy_cuts(spark):
 
 def test_running_total(spark):
     rows = spark.range(1000).selectExpr("id * 37 AS seq", "id % 7 AS n")
-    got = {r.seq: r.b for r in running_total(rows, "seq", F.col("n"), "b", 256).collect()}
-    total = 0
-    for i in range(1000):
-        assert got[i * 37] == total
-        total += i % 7
+    for span, levels in ((256, 1), (256, 2), (16, 3)):
+        found = running_total(rows, "seq", F.col("n"), "b", span, levels)
+        assert found.columns == ["seq", "n", "b"]
+        got = {r.seq: r.b for r in found.collect()}
+        total = 0
+        for i in range(1000):
+            assert got[i * 37] == total
+            total += i % 7
 
 
 def test_key_order_is_by_bytes(spark):
