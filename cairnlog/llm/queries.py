@@ -57,4 +57,16 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_temperature_mixing, op3_consensus_extract, op4_byte_quality, op5_best_fit_packing, op6_simhash, op7_projection_forest, op8_fuzzy_toxicity,
     op9_bottom_k, op10_rendezvous_sharding,
 )}
-ORACLES: dict[str, str] = {}
+
+#: The shard with the largest hash of (key, shard), as the weights are equal; CRC-32 by its polynomial, a byte at a time.
+_SHARDS = """WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i::UBIGINT] || list_transform(range(8), lambda z: z::UBIGINT),
+  lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)) AS tab),
+rows_ AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h,
+  coalesce('k' || CAST(doc_id AS VARCHAR), 'null') AS key, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/slot'), 1, 8))::BIGINT % 512 AS block FROM documents),
+sized AS (SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, (2 * i - 1)::INT, 2))::UBIGINT),
+  lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32,
+  list_transform(range(9), lambda s: ('0x' || substr(md5(key || '/' || CAST(s AS VARCHAR)), 1, 13))::BIGINT) AS u FROM rows_, tab),
+dealt AS (SELECT *, list_position(u[1:8], list_max(u[1:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown FROM sized)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM dealt"""
+ORACLES: dict[str, str] = {"op10_rendezvous_sharding": _SHARDS}

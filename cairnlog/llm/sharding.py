@@ -23,6 +23,11 @@ from pyspark.sql import functions as F
 BLOCKS, BLOCK_ROWS = 512, 100_000
 
 
+def _number(text: Column, digits: int) -> Column:
+    """The first hex digits of a text's MD5 as a number. Any engine can compute it, so shards can be found without Spark."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def rendezvous(key: Column, weights: list[float]) -> Column:
     """The shard (0, 1, ...) of a key: argmax over shards of -weight / ln(u), u a hash in (0, 1) of (key, shard)."""
     if not weights or any(w <= 0 for w in weights):
@@ -31,7 +36,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 
     def score(shard: int, weight: float) -> Column:
         # 52 bits of the hash, moved off 0 and 1
-        u = (F.shiftrightunsigned(F.xxhash64(text, F.lit(shard)), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+        u = (_number(F.concat(text, F.lit(f"/{shard}")), 13).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
         return F.struct((F.lit(-float(weight)) / F.ln(u)).alias("s"), F.lit(-shard).alias("n"))
 
     best = [score(i, w) for i, w in enumerate(weights)]
@@ -41,7 +46,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def slots(rows: DataFrame, shard: str, key: Column, ties: list[str], blocks: int = BLOCKS) -> DataFrame:
     """`rows` with a column `slot`, gapless from 0 within each value of `shard`; rows of one key are told apart by `ties`."""
     text = F.coalesce(key.cast("string"), F.lit("null"))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(text, F.lit(101)), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("_block", (_number(F.concat(text, F.lit("/slot")), 8) % blocks).cast("int"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
