@@ -9,7 +9,7 @@ A query visits the leaves of all trees in the order of one shared priority queue
 is the least signed margin on the path to it. Visits end below -share * r, where r bounds the
 distance of the query's last wanted neighbour by its neighbours in the sample. A share of 1 would
 miss nothing, as a margin is a distance; the share in use is calibrated on sample queries so that
-TARGET of the true neighbours are met, and so adapts to clustered and to shapeless data, and each
+TARGET of the true neighbours are met (a target of 1 keeps the share at 1), and so adapts to clustered and to shapeless data, and each
 query to its own surroundings. The candidates of the visited leaves are ranked by exact products.
 
 Leaves meet their queries in cells of at most CELL_ROWS vectors and CELL_ROWS queries, so no task
@@ -105,7 +105,7 @@ class Index:
         self.leaf = self.forest.file(self.lengthened(sample))
         self.share = 1.0
         some = np.random.default_rng(seed + 1).permutation(len(sample))[:CALIBRATED_ON]
-        if len(sample) > wanted + 1 and self.forest.depth:
+        if target < 1 and len(sample) > wanted + 1 and self.forest.depth:
             q = sample[some]
             score = q @ sample.T
             score[np.arange(len(some)), some] = -np.inf
