@@ -84,27 +84,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts of the training fold, as (text, label), for fitting on the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, total_bytes: int) -> list[tuple[str, int]]:
+    """At most `rows` labelled whole texts of the training fold, as (text, label), for fitting on the driver.
 
     The labels are sampled first, by a hash of their id, and only the sample is broadcast to the
-    scan of the texts, so no text is shuffled. Texts above `max_bytes` bytes are not fitted on
-    (they are scored like any other), which bounds the driver's memory by rows * max_bytes.
-    Ids labelled twice count once, with the larger label. Ties in the hash are harmless.
+    scan of the texts. Any length counts: in the order of the hash, texts are taken until those before
+    have `total_bytes` bytes, which bounds the driver's memory whatever the texts' lengths. Ids labelled
+    twice count once, with the larger label; of the texts of a repeated id, that with the least hash.
     """
+    order = F.xxhash64("doc_id", F.lit(7))
     train = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("_label"))
     )
-    sample = train.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+    sample = train.orderBy(order, "doc_id").limit(rows)
+    text = F.col("text").cast("string")
     found = (
-        docs.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-        .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "text", "_label")
+        docs.select("doc_id", text.alias("text"))
+        .where(F.col("text").isNotNull())
+        .join(F.broadcast(sample), "doc_id")  # at most `rows` rows
+        .groupBy("doc_id", "_label")
+        .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_own"))
+        .select("doc_id", "_label", order.alias("_order"), F.col("_own.text").alias("text"))
     )
-    got = {}
-    for r in found.collect():  # one job; at most rows * max_bytes
-        got.setdefault(r[0], (r[1], int(r[2])))
-    return [got[k] for k in sorted(got)]
+    kept = written(found, "sample")
+    sizes = kept.select("_order", "doc_id", F.octet_length("text")).orderBy("_order", "doc_id").collect()  # at most `rows` numbers
+    taken, last = 0, None
+    for r in sizes:
+        if taken >= total_bytes:
+            break
+        taken, last = taken + r[2], r
+    if last is None:
+        return []
+    own = kept.select("_order", "doc_id", "text", "_label").where(
+        (F.col("_order") < last[0]) | ((F.col("_order") == last[0]) & (F.col("doc_id") <= last[1]))
+    )
+    got = [(r[2], int(r[3])) for r in sorted(own.collect(), key=lambda r: (r[0], r[1]))]  # total_bytes and one text at most
+    forget(kept)
+    return got

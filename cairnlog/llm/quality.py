@@ -6,8 +6,8 @@ are combined, by their maximum and their mean, into one vector, and a small laye
 the probability that the document is good. Neither the number of chunks nor the text's length is
 limited; a text is worked through piece by piece.
 
-The network is fitted on the driver on a bounded sample of labelled texts (FIT_ROWS, FIT_BYTES),
-never on the held-out fold, and has a few thousand weights, which go out with the tasks.
+The network is fitted on the driver on a bounded sample of labelled whole texts of any length (FIT_ROWS,
+FIT_BYTES), never on the held-out fold, and has a few thousand weights, which go out with the tasks.
 
 Defined results: a null text is an empty one, and an empty text has a score like any other; without
 labelled rows of both kinds the score is the share of good ones (0.5 without any); repeated rows are
@@ -18,16 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnlog.llm.common import held_out, labelled_sample, small_batches
 
-#: The sample that the network is fitted on: rows at most, and bytes that a text of it may have.
-FIT_ROWS, FIT_BYTES = 3000, 12_000
-#: Passes over the sample, and the steps that a small sample's passes add up to at least.
-EPOCHS, LEAST_STEPS = 20, 800
+#: The sample that the network is fitted on: rows at most, and bytes of all its texts together after which no more are added.
+FIT_ROWS, FIT_BYTES = 3000, 128 << 20
+#: Passes over the sample; a small one's go on up to so many steps, or bytes of text gone through.
+EPOCHS, LEAST_STEPS, LEAST_BYTES = 20, 800, 64 << 20
 KEEP_AT = 0.3
 EMBED, FILTERS, HIDDEN = 8, 24, 16
 STEP = 4  # bytes from one position to the next; a filter sees two steps
@@ -63,31 +64,38 @@ class ByteNet:
             "H": w(2 * FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "o": w(HIDDEN, 1), "d": np.zeros(1, np.float32),
         }
 
-    def _positions(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embedded steps, and each position's activations before the rectifier; a text's last step looks at nothing."""
-        p = self.p
-        e = p["E"][data].reshape(-1, STEP * EMBED)
-        z = e @ p["W1"] + p["b"]
-        z[:-1] += (e @ p["W2"])[1:]
-        z[ends] = 0
-        return e, z
-
-    def _units(self, data: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """The rectified maxima of every unit, computed piece by piece."""
-        out = []
+    def _units(self, data: np.ndarray, units: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The rectified maxima of every unit and filter and, if asked for, their positions, computed piece by piece.
+
+        A text's last step looks at nothing: its activations are 0. The last bits of an activation make room
+        for its place in the unit, so that one maximum finds both; equal up to those bits, the first counts.
+        """
+        p, top, where = self.p, [], []
         last = np.cumsum(units) * UNIT - 1
+        both = np.hstack([p["W1"], p["W2"]])
+        back = np.arange(UNIT - 1, -1, -1, dtype=np.int32)[None, :, None]
         for i in range(0, len(data), PIECE):
             part = data[i : i + PIECE + STEP]  # one step more, which the last position looks at
-            inside = last[(last >= i // STEP) & (last < (i + PIECE) // STEP)] - i // STEP
-            z = self._positions(part, inside)[1][: (min(PIECE, len(data) - i)) // STEP]
-            out.append(np.maximum(z.reshape(-1, UNIT, FILTERS).max(1), 0))
-        return np.concatenate(out) if out else np.empty((0, FILTERS), np.float32)
+            seen = np.take(p["E"], part, axis=0).reshape(-1, STEP * EMBED) @ both
+            z = seen[:, :FILTERS] + p["b"]
+            z[:-1] += seen[1:, FILTERS:]
+            z = z[: min(PIECE, len(data) - i) // STEP]
+            first = i // STEP
+            z[last[np.searchsorted(last, first) : np.searchsorted(last, first + len(z))] - first] = 0
+            z = np.maximum(z, 0, out=z).reshape(-1, UNIT, FILTERS)
+            top.append(z.max(1))
+            if places:
+                code = z.astype(np.float32, copy=False).view(np.int32) & ~(UNIT - 1) | back
+                where.append(UNIT - 1 - (code.max(1) & (UNIT - 1)) + first + UNIT * np.arange(len(z))[:, None])
+        if not top:
+            return np.empty((0, FILTERS), np.float32), np.empty((0, FILTERS), np.int64)
+        return np.concatenate(top), np.concatenate(where) if places else np.empty((0, FILTERS), np.int64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
         data, units = lay_out(texts)
-        m = self._units(data, units)
+        m, _ = self._units(data, units)
         starts, last, first = chunk_starts(units)
         c = m[starts]
         for k in range(1, CHUNK):
@@ -99,17 +107,13 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
 
     def gradients(self, texts: list[str], labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss. Only the positions that won their chunk pass anything on, so memory is that of the chunks."""
         p = self.p
         data, units = lay_out(texts)
-        ends = np.cumsum(units) * UNIT - 1
-        e, z = self._positions(data, ends)
-        by_unit = z.reshape(-1, UNIT, FILTERS)
-        where = by_unit.argmax(1) + (np.arange(len(by_unit)) * UNIT)[:, None]  # positions
-        m = np.maximum(np.take_along_axis(z, where, 0), 0)
+        m, where = self._units(data, units, places=True)
         starts, last, first = chunk_starts(units)
         options = np.minimum(starts[:, None] + np.arange(CHUNK), last[:, None])
-        pick = m[options].argmax(1)
-        unit_of = np.take_along_axis(options, pick, 1)  # chunk, filter
+        unit_of = np.take_along_axis(options, m[options].argmax(1), 1)  # [chunk, filter]
         c = np.take_along_axis(m, unit_of, 0)
         n = np.diff(np.append(first, len(starts)))
         doc = np.repeat(np.arange(len(texts)), n)
@@ -118,33 +122,37 @@ class ByteNet:
         a = x @ p["H"] + p["c"]
         h = np.maximum(a, 0)
         y = (h @ p["o"] + p["d"])[:, 0]
-        g = {}
+        g = {k: np.zeros_like(v) for k, v in p.items()}
         dy = ((1 / (1 + np.exp(-np.clip(y, -30, 30)))) - labels).astype(np.float32)[:, None] / len(texts)
         g["o"], g["d"] = h.T @ dy, dy.sum(0)
         da = (dy @ p["o"].T) * (a > 0)
         g["H"], g["c"] = x.T @ da, da.sum(0)
         dx = da @ p["H"].T
-        dc = (dx[:, FILTERS:] / n[:, None])[doc]
         is_top = c == top[doc]
         ties = np.add.reduceat(is_top.astype(np.float32), first)
-        dc = dc + is_top * (dx[:, :FILTERS] / ties)[doc]
-        dm = np.zeros_like(m)
-        np.add.at(dm, (unit_of, np.arange(FILTERS)[None, :]), dc)
-        dz = np.zeros_like(z)
-        np.put_along_axis(dz, where, dm * (m > 0), 0)
-        dz[ends] = 0
-        g["b"], g["W1"], g["W2"] = dz.sum(0), e.T @ dz, e[1:].T @ dz[:-1]
-        de = dz @ p["W1"].T
-        de[1:] += (dz @ p["W2"].T)[:-1]
-        de = de.reshape(-1, EMBED)
-        g["E"] = np.stack([np.bincount(data, de[:, k], 256) for k in range(EMBED)], 1).astype(np.float32)
+        dc = ((dx[:, FILTERS:] / n[:, None])[doc] + is_top * (dx[:, :FILTERS] / ties)[doc]) * (c > 0)
+        g["b"] = dc.sum(0).astype(np.float32)
+        # gradients by filter, byte of the window and its value: weights and embedding follow from these sums.
+        # A position with a gradient is none of a text's last, so the step after it is the text's own.
+        steps, slot = data.reshape(-1, STEP), np.arange(FILTERS)[:, None] * 2 * STEP + np.arange(2 * STEP)
+        sums = np.zeros(slot.size * 256)
+        position = np.take_along_axis(where, unit_of, 0)
+        for i in range(0, len(dc), 8192):
+            at = position[i : i + 8192]
+            seen = np.concatenate([steps[at], steps[np.minimum(at + 1, len(steps) - 1)]], 2)
+            sums += np.bincount((slot * 256 + seen).ravel(), np.repeat(dc[i : i + 8192].ravel(), 2 * STEP), len(sums))
+        sums = sums.reshape(FILTERS, 2 * STEP, 256).astype(p["E"].dtype)
+        for w, part in (("W1", sums[:, :STEP]), ("W2", sums[:, STEP:])):
+            g[w] = (part @ p["E"]).transpose(1, 2, 0).reshape(STEP * EMBED, FILTERS)
+            g["E"] += np.einsum("fsb,sdf->bd", part, p[w].reshape(STEP, EMBED, FILTERS), optimize=True)
         g["E"][0] = 0
         return g
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int = 32, rate: float = 3e-3, seed: int = 1):
         """Adam on the log loss."""
         r, labels = np.random.default_rng(seed), np.asarray(labels, np.float32)
-        epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
+        size = sum(len(t.encode("utf-8", "surrogatepass")) for t in texts)
+        epochs = max(epochs, min(-(-LEAST_STEPS * batch // len(texts)), LEAST_BYTES // max(1, size)))
         self.p["E"][0] = 0  # padding
         mean = {k: np.zeros_like(v) for k, v in self.p.items()}
         var = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -172,8 +180,8 @@ class Share:
         return np.full(len(texts), self.value)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES):
-    sample = labelled_sample(docs, labels, "quality", rows, max_bytes)
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, total_bytes: int = FIT_BYTES):
+    sample = labelled_sample(docs, labels, "quality", rows, total_bytes)
     y = [label for _, label in sample]
     if len(set(y)) < 2:
         return Share(y)
@@ -183,28 +191,30 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes:
 def scored(docs: DataFrame, model, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    return _with_scores(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= keep_at).cast("int").alias("predicted"),
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _scores(model, b.column("text"))], ["doc_id", "score"])
+
+    out = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, out).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= keep_at).cast("int").alias("predicted")
     )
 
 
 def kept(docs: DataFrame, model, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs, all columns kept, whose text scores `keep_at` or more."""
+    """The rows of docs, all columns kept whatever their names, whose text scores `keep_at` or more."""
     small_batches(docs.sparkSession)
-    return _with_scores(docs, model, whole=True).where(F.col("_score") >= keep_at).drop("_score")
-
-
-def _with_scores(docs: DataFrame, model, whole: bool = False) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            score = np.concatenate([model.score(texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.empty(0)])
-            cols = [c for i, c in enumerate(b.columns) if whole or i != at]
-            names = [c for i, c in enumerate(b.schema.names) if whole or i != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(score, pa.float64())], [*names, "_score"])
-
-    out = docs.schema if whole else docs.drop("text").schema
-    return docs.mapInArrow(run, T.StructType([*out.fields, T.StructField("_score", T.DoubleType())]))
+            yield b.filter(pc.greater_equal(_scores(model, b.column(at)), keep_at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scores(model, texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.string()).to_pylist()
+    return pa.array(np.concatenate([model.score(texts[i : i + 64]) for i in range(0, len(texts), 64)] or [np.empty(0)]), pa.float64())
