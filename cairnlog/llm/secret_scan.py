@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
 Candidates are private key blocks, values assigned to names such as `token` or `password`, web
-tokens, and runs of 16 or more key characters with a digit. The forest looks at the candidate's
+tokens, and all runs of 16 or more key characters. The forest looks at the whole candidate's
 length, its character transitions (changes of character class, common letter pairs), the share that
 dictionary words cover, its make-up, the path it was found under and the words beside it. It is
 trained on labelled findings; `default_findings` makes a set of them, and another may be given.
@@ -12,9 +12,9 @@ may have any number of candidates. Only the labelled findings, a bounded set, re
 where the trees are grown; they return as constant arrays that an expression walks.
 
 Defined results: a null text has no findings and stays null; an empty text has none; repeated rows
-are scanned each; a private-use character that serves as a mark is searched as if it were a
-replacement character; an empty table gives an empty result; other columns stay as they are, except
-that names beginning with `_scan` are reserved.
+are scanned each; the two private-use characters that serve as marks stay as they are (each counts as
+two towards the least length of a value); an empty table gives an empty result; other columns stay as they
+are, whatever their names. A text without a source has the empty path.
 """
 
 from __future__ import annotations
@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 SECRET_AT = 0.5
 TREES, DEPTH, LEAF = 25, 8, 3
 BESIDE = 64  # characters of context on either side
-MARK, FOR_MARK = "\ue000", "\ufffd"
+#: What splits a marked text, and what stands for it and for itself where a text has either.
+MARK, ESCAPE, MARK_CODE, ESCAPE_CODE = "\ue000", "\ue001", "\ue002", "\ue003"
 REDACTED = "[SECRET]"
 
 NAMES = "pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer"
-KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+#: The body has no five dashes, so a beginning without an end is given up at the next such line.
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
 ASSIGNED = rf"((?i:\b[A-Za-z_\-]{{0,24}}?(?:{NAMES})[\"']?\s{{0,4}}(?:[:=]|=>|:=)\s{{0,4}}[\"']?))([^\s\"'<>,;()\[\]{{}}$&]{{6,}}+)"
 WEB_TOKEN = r"\beyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+"
-RUN = r"(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]*+[0-9])[A-Za-z0-9_+/=\-]{16,}+"
+RUN = r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}+"
 CANDIDATE = f"{ASSIGNED}|({KEY_BLOCK}|{WEB_TOKEN}|{RUN})"
 
 DICTIONARY = (
@@ -74,10 +76,17 @@ FEATURES = (
 )
 
 
+PRINTABLE = "".join(map(chr, range(33, 127)))
+
+
 def pieces(text: Column) -> Column:
     """The text split at its candidates: text, candidate, text, ..., candidate, text."""
-    marked = F.regexp_replace(F.translate(text, MARK, FOR_MARK), F.lit(CANDIDATE), F.lit(f"$1{MARK}$2$3{MARK}"))
-    return F.split(marked, MARK, -1)
+    odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(ESCAPE))
+    escaped = F.replace(F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + ESCAPE_CODE)), F.lit(MARK), F.lit(ESCAPE + MARK_CODE))
+    marked = F.regexp_replace(F.when(odd, escaped).otherwise(text), F.lit(CANDIDATE), F.lit(f"$1{MARK}$2$3{MARK}"))
+    back = lambda p: F.replace(F.replace(p, F.lit(ESCAPE + MARK_CODE), F.lit(MARK)), F.lit(ESCAPE + ESCAPE_CODE), F.lit(ESCAPE))
+    found = F.split(marked, MARK, -1)
+    return F.when(odd, F.transform(found, back)).otherwise(found)
 
 
 def features(before: Column, value: Column, after: Column, path: Column) -> Column:
@@ -87,7 +96,8 @@ def features(before: Column, value: Column, after: Column, path: Column) -> Colu
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     flag = lambda c: F.when(c, F.lit(1.0)).otherwise(F.lit(0.0))
     words = "|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w)))
-    start = F.substring(value, 1, 4096)  # what follows in a longer candidate is taken to be like it, for this one feature
+    # what is left of the printable characters without those of the value tells how many it has
+    variety = F.lit(len(PRINTABLE)) - F.length(F.call_function("translate", F.lit(PRINTABLE), value, F.lit("")))
     values = [
         F.least(n, F.lit(200.0)),
         count(value, r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])") / n,
@@ -97,7 +107,7 @@ def features(before: Column, value: Column, after: Column, path: Column) -> Colu
         count(value, "[A-Z]") / n,
         flag(low.rlike("^[0-9a-f]+$")),
         flag(value.rlike(r"^[0-9+/=_\-]+$")),
-        F.size(F.array_distinct(F.split(start, ""))) / F.sqrt(F.length(start).cast("double") + 1),
+        variety / F.sqrt(n + 1),
         flag(value.rlike(KNOWN)),
         flag(near.rlike(NAMES)),
         flag(F.concat(behind, F.lit(" "), F.lower(after)).rlike(rf"\b(?:{HARMLESS})")),
@@ -205,6 +215,9 @@ def default_findings(n: int = 3000, seed: int = 11) -> list[dict]:
         lambda: ("Authorization: Bearer ", "eyJ" + some(alnum, 20) + "." + some(alnum, 60) + "." + some(alnum + "-_", 43)),
         lambda: ("", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(b64, 64) for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----"),
         lambda: (r.choice(["key is ", "use ", ""]), some(alnum, r.randint(32, 64))),
+        lambda: (r.choice(["key ", "aws ", "", name() + sign()]), "AKIA" + some(string.ascii_uppercase, 16)),
+        lambda: (r.choice(["", name() + sign(), "use "]), r.choice(["ghp_", "sk-", "glpat-"]) + some(string.ascii_letters, 36)),
+        lambda: (name() + sign(), some(string.ascii_letters, r.randint(16, 40))),
     ]
     false = [
         lambda: (r.choice(["commit ", "sha1: ", "revision ", "git checkout "]), some(hexes, 40)),
@@ -223,6 +236,10 @@ def default_findings(n: int = 3000, seed: int = 11) -> list[dict]:
         lambda: ("example: " + name() + sign(), some(r.choice([hexes, alnum]), r.choice([20, 32, 40]))),
         lambda: ("the secret: ", words(1, "") + r.choice("abcdefg")),
         lambda: ("", some("aeiou" "tnrsl", r.randint(14, 26)) + some(string.digits, 1)),
+        lambda: (r.choice(["", "the "]), words(r.randint(3, 6), r.choice(["", "-", "_", "/"]))),
+        lambda: ("", some("eeeaaaiioouu" "ttnnrrssllddhhmcgbpfk", r.randint(16, 34)).capitalize()),
+        lambda: ("", r.choice("-=_") * r.randint(16, 80)),
+        lambda: ("http://", words(2, "/") + "/" + words(3, "-")),
     ]
     out = []
     for i in range(n):
@@ -252,27 +269,31 @@ def forest(spark: SparkSession, findings: list[dict] | None = None) -> Forest:
     return _grown_from(spark, findings) if findings else _default_forest(spark)
 
 
+#: Whole rows of docs travel as one column of this name, so that no name of theirs can clash.
+ROW = "_row"
+
+
 def _scanned(docs: DataFrame, trees: Forest) -> DataFrame:
-    """docs with _scan_pieces and _scan_found: array of (n, before, value, after, score)."""
+    """_row (the row of docs), pieces, and found: array of (n, score)."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit("")
     # a generator's output is computed once for each row; as a plain column the optimizer would copy it into filters
-    docs = docs.select("*", F.explode(F.array(pieces(F.col("text").cast("string")))).alias("_scan_pieces"))
-    many = F.coalesce(((F.size("_scan_pieces") - 1) / 2).cast("int"), F.lit(0))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(ROW), path.alias("path"), F.explode(F.array(pieces(F.col("text").cast("string")))).alias("pieces"))
+    many = F.coalesce(((F.size("pieces") - 1) / 2).cast("int"), F.lit(0))
 
     def finding(n: Column) -> Column:
-        piece = lambda i: F.get(F.col("_scan_pieces"), i)
+        piece = lambda i: F.get(F.col("pieces"), i)
         before, value, after = F.right(piece(2 * n), F.lit(BESIDE)), piece(2 * n + 1), F.left(piece(2 * n + 2), F.lit(BESIDE))
-        return F.struct(n.alias("n"), F.transform(F.array(features(before, value, after, path)), trees.score)[0].alias("score"))
+        return F.struct(n.alias("n"), F.transform(F.array(features(before, value, after, F.col("path"))), trees.score)[0].alias("score"))
 
     found = F.transform(F.sequence(F.lit(0), many - 1), finding)
-    return docs.withColumn("_scan_found", F.when(many > 0, found))
+    return rows.withColumn("found", F.when(many > 0, found))
 
 
-def _starts(lengths: Column, i: Column, block: int = 256) -> Column:
+def _starts(lengths: Column, blocks: Column, i: Column, block: int = 256) -> Column:
     """The sum of the first i lengths, from sums of blocks, so that many candidates stay cheap."""
     add = lambda array: F.reduce(array, F.lit(0).cast("long"), lambda s, x: s + x)
     whole = F.floor(i / block).cast("int")
-    return add(F.slice(F.col("_scan_blocks"), F.lit(1), whole)) + add(F.slice(lengths, whole * block + 1, i - whole * block))
+    return add(F.slice(blocks, F.lit(1), whole)) + add(F.slice(lengths, whole * block + 1, i - whole * block))
 
 
 def scan(docs: DataFrame, trees: Forest, secret_at: float = SECRET_AT) -> DataFrame:
@@ -281,17 +302,15 @@ def scan(docs: DataFrame, trees: Forest, secret_at: float = SECRET_AT) -> DataFr
     doc_id, n (from 0), start and length (code points of the text), sha256 of the candidate, score and is_secret.
     """
     rows = docs.select("doc_id", "text", *(["source"] if "source" in docs.columns else []))
-    rows = _scanned(rows, trees).where(F.size("_scan_pieces") > 1)
-    rows = rows.withColumn("_scan_lengths", F.transform("_scan_pieces", lambda p: F.length(p).cast("long")))
-    last = F.floor((F.size("_scan_lengths") - 1) / 256).cast("int")
-    block = lambda b: F.reduce(F.slice("_scan_lengths", b * 256 + 1, F.lit(256)), F.lit(0).cast("long"), lambda s, x: s + x)
-    rows = rows.withColumn("_scan_blocks", F.transform(F.sequence(F.lit(0), last), block))
-    value = F.get(F.col("_scan_pieces"), 2 * F.col("_scan_one.n") + 1)
-    return rows.withColumn("_scan_one", F.explode("_scan_found")).select(
-        "doc_id", F.col("_scan_one.n").alias("n"),
-        _starts(F.col("_scan_lengths"), 2 * F.col("_scan_one.n") + 1).alias("start"),
+    rows = _scanned(rows, trees).where(F.size("pieces") > 1).withColumn("lengths", F.transform("pieces", lambda p: F.length(p).cast("long")))
+    last = F.floor((F.size("lengths") - 1) / 256).cast("int")
+    block = lambda b: F.reduce(F.slice("lengths", b * 256 + 1, F.lit(256)), F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = rows.withColumn("blocks", F.transform(F.sequence(F.lit(0), last), block))
+    value = F.get(F.col("pieces"), 2 * F.col("one.n") + 1)
+    return rows.withColumn("one", F.explode("found")).select(
+        F.col(f"{ROW}.doc_id").alias("doc_id"), F.col("one.n").alias("n"), _starts(F.col("lengths"), F.col("blocks"), 2 * F.col("one.n") + 1).alias("start"),
         F.length(value).cast("long").alias("length"), F.sha2(value, 256).alias("sha256"),
-        F.round(F.col("_scan_one.score"), 6).alias("score"), (F.col("_scan_one.score") >= secret_at).alias("is_secret"),
+        F.round(F.col("one.score"), 6).alias("score"), (F.col("one.score") >= secret_at).alias("is_secret"),
     )
 
 
@@ -300,12 +319,14 @@ def redacted(docs: DataFrame, trees: Forest, secret_at: float = SECRET_AT, inste
     rows = _scanned(docs, trees)
 
     def piece(p: Column, i: Column) -> Column:
-        hit = F.get(F.col("_scan_found"), F.floor(i / 2).cast("int"))["score"] >= secret_at
+        hit = F.get(F.col("found"), F.floor(i / 2).cast("int"))["score"] >= secret_at
         return F.when((i % 2 == 1) & hit, F.lit(instead)).otherwise(p)
 
-    any_secret = F.exists("_scan_found", lambda f: f["score"] >= secret_at)
-    text = F.when(any_secret, F.array_join(F.transform("_scan_pieces", piece), "")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    any_secret = F.coalesce(F.exists("found", lambda f: f["score"] >= secret_at), F.lit(False))
+    own = F.col(ROW)
+    text = F.when(any_secret, F.array_join(F.transform("pieces", piece), "")).otherwise(own["text"])
+    out = {c: own.getField(c) for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(any_secret, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        n = F.when(any_secret, F.length(text)).otherwise(own["n_chars"])
+        out["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(c.alias(name) for name, c in out.items()))
