@@ -1,21 +1,24 @@
 """Toxicity from a lexicon matched with spelling errors, read in context.
 
-The lexicon's terms form a trie. A Levenshtein automaton for each term's allowed distance (which keeps
-the first letter) is intersected with it, and the product is made deterministic: one table over byte classes that
+The lexicon's terms form a trie. A Levenshtein automaton for each term's allowed distance is
+intersected with it, and the product is made deterministic: one table over letter classes that
 accepts every word within reach of a term and says which term and at what distance. Words are run
-through the table column by column, many at a time. Every whole text is looked through.
+through the table column by column, many at a time. Every whole text is looked through. A hit that
+changes the first letter, or any letter of a short term, is loose: proper words are often that near,
+so it counts as a kind of its own.
 
 Each hit has a context window: quotation marks around it and words of reporting speak for a
 quotation, words that address somebody and further hits for abuse. Sums of the hits of each kind
 go into a logistic score whose weights are fitted with priors on the labelled sample, so kinds
 that the sample lacks keep their prior weight.
 
-Terms are mined from a bounded sample of labelled texts of the training fold (FIT_ROWS, FIT_BYTES)
+Terms are mined from a bounded sample of labelled whole texts of the training fold (FIT_ROWS, FIT_BYTES)
 by greedy cover: the word that tells most toxic texts apart, then the one that does so for the
-toxic texts left. A short list of common English insults is always part of the lexicon. Where an
-insult is inflected in many ways, its stem is mined: a beginning that inflected words of toxic texts
-have and those of others hardly do. One inflected word says little, as it may be there by chance; how many
-of them a text has is a feature of its own.
+toxic texts left, as long as that can't be chance (a binomial tail over all words looked at). A short
+list of common English insults is always part of the lexicon. Where an insult is inflected in many
+ways, its stem is mined: a beginning that inflected words of toxic texts have and those of others
+hardly do. One inflected word says little, as it may be there by chance; how many of them a text has
+is a feature of its own. Neither the terms' number nor their lengths are limited.
 
 Defined results: a null text is an empty one, and texts without a hit share the lowest score;
 without labelled rows the priors hold; repeated rows are scored each; an empty table gives an empty
@@ -26,7 +29,9 @@ from __future__ import annotations
 
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
+from math import exp, lgamma, log, log1p
 from zlib import crc32
 
 import numpy as np
@@ -37,11 +42,13 @@ from pyspark.sql import types as T
 
 from cairnlog.llm.common import held_out, labelled_sample, small_batches
 
-FIT_ROWS, FIT_BYTES = 4000, 12_000
+#: The sample that lexicon and weights are fitted on: rows at most, and bytes of all its texts together after which no more are added.
+FIT_ROWS, FIT_BYTES = 4000, 128 << 20
 TOXIC_AT = 0.5
 WINDOW = 6  # chunks before and after a hit
-MAX_TERMS = 200
-STEMMED = 3  # stands for the distance of a word that is a stem and more
+#: The chance, over all words looked at, that a mined term is none.
+CHANCE = 0.01
+STEMMED, LOOSE = 3, 4  # stand for the distance of a word that is a stem and more, and of a loose hit
 SEED_TERMS = (
     "idiot idiots moron morons imbecile stupid loser losers scum worthless pathetic disgusting trash garbage clown "
     "dumbass asshole bastard bitch retard retarded scumbag jackass filth vermin"
@@ -58,8 +65,12 @@ RUNS = re.compile(r"(\w)\1{2,}")
 
 
 def reach(term: str) -> int:
-    """The distance that a term is matched at: short terms have too many neighbours among proper words."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """The distance that a term is matched at; of three letters, one letter off is any word."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
+
+
+def is_loose(word: str, term: str) -> bool:
+    return word[:1] != term[:1] or len(term) < 5
 
 
 class FuzzyLexicon:
@@ -114,7 +125,7 @@ class FuzzyLexicon:
         todo = list(state)
         while todo:
             n = todo.pop()
-            for to in self._child[n].values() if n else ():
+            for to in self._child[n].values():
                 e = state[n] + 1
                 if e <= self._far[to] and e < state.get(to, 99):
                     state[to] = e
@@ -124,10 +135,9 @@ class FuzzyLexicon:
     def _after(self, state: tuple[tuple[int, int], ...], letter: str) -> dict[int, int]:
         out: dict[int, int] = {}
         for n, e in state:
-            if n:
-                out[n] = min(out.get(n, 99), e + 1)  # a letter too many
+            out[n] = min(out.get(n, 99), e + 1)  # a letter too many
             for c, to in self._child[n].items():
-                cost = e + (c != letter) if n else e if c == letter else 99
+                cost = e + (c != letter)
                 if cost < out.get(to, 99):
                     out[to] = cost
         return out
@@ -157,10 +167,11 @@ class FuzzyLexicon:
 
 
 #: Sums over a text's hits. Priors: a hit as spelled is abuse, one or two letters off nearly so; inside a quotation hardly;
-#: an inflected stem, outside of quotations, is not yet, and each further, different one is more so.
-FEATURES = ("exact", "fuzzy", "quoted", "quoted_fuzzy", "addressed", "crowded", "reported", "stem", "more_stems")
-PRIOR = np.array([-4.0, 6.0, 5.0, 1.0, 0.5, 1.5, 1.0, -1.5, 1.0, 2.0])
-PRIOR_WIDTH = np.array([2.0, 2.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0])
+#: a loose hit, outside of quotations, hardly; an inflected stem is not yet, and each further, different one is more so.
+FEATURES = ("exact", "fuzzy", "quoted", "quoted_fuzzy", "addressed", "crowded", "reported", "loose", "stem", "more_stems")
+PRIOR = np.array([-4.0, 6.0, 5.0, 1.0, 0.5, 1.5, 1.0, -1.5, 0.0, 1.0, 2.0])
+PRIOR_WIDTH = np.array([2.0, 2.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.5, 1.0, 1.0])
+SOFT = 5.0  # sums grow with their logarithm from here
 
 
 class Detector:
@@ -205,15 +216,18 @@ class Detector:
                         forms |= {spelled, re.sub(r"[^\w]", "", spelled)}
                 for f in forms:
                     of.setdefault(f, []).append(c)
-        for w, hit in self.lexicon.match(list(of)).items():
-            for c in of[w] if not hit[1] or w not in self.proper else ():
+        for w, (term, far) in self.lexicon.match(list(of)).items():
+            hit = (term, LOOSE if far and is_loose(w, term) else far)
+            for c in of[w] if not far or w not in self.proper else ():
                 if c not in self.hot or hit[1] < self.hot[c][1]:
                     self.hot[c] = hit
         if self.stems:
             for w, own in of.items():
                 if w.startswith(self.stems) and w not in self.stems:
                     for c in own:
-                        self.hot.setdefault(c, (next(s for s in self.stems if w.startswith(s)), STEMMED))
+                        if c in self.hot and self.hot[c][1] != LOOSE:
+                            continue
+                        self.hot[c] = (next(s for s in self.stems if w.startswith(s)), STEMMED)
         self.seen |= new
 
     def hits(self, text: str | None) -> list[tuple[int, str, int, bool, bool, bool, bool]]:
@@ -227,17 +241,18 @@ class Detector:
         if self.hot.keys().isdisjoint(known):
             return []
         at = [i for i, c in enumerate(chunks) if c in self.hot]
+        sure = [i for i in at if self.hot[chunks[i]][1] != LOOSE]
         out = []
         for i in at:
             term, far = self.hot[chunks[i]]
             lo, hi = max(0, i - WINDOW), min(len(chunks), i + WINDOW + 1)
-            before, here, after = " ".join(chunks[lo:i]), chunks[i], " ".join(chunks[i + 1 : hi])
-            left = len(QUOTES.findall(before)) + len(QUOTES.findall(here[: len(here) // 2]))
-            right = len(QUOTES.findall(after)) + len(QUOTES.findall(here[len(here) // 2 :]))
+            before, own, after = " ".join(chunks[lo:i]), chunks[i], " ".join(chunks[i + 1 : hi])
+            left = len(QUOTES.findall(before)) + len(QUOTES.findall(own[: len(own) // 2]))
+            right = len(QUOTES.findall(after)) + len(QUOTES.findall(own[len(own) // 2 :]))
             near = {w.strip(".,;:!?\"'()“”«»") for w in (*chunks[lo:i], *chunks[i + 1 : hi])}
             out.append((
                 i, term, far, left % 2 == 1 and right >= 1, not ADDRESS.isdisjoint(near),
-                any(lo <= j < hi for j in at if j != i), not REPORTING.isdisjoint(near),
+                any(sure[j] != i for j in range(bisect_left(sure, lo), bisect_left(sure, hi))), not REPORTING.isdisjoint(near),
             ))
         return out
 
@@ -255,10 +270,13 @@ class Detector:
                     if not quoted:
                         inflected.add(chunks[i].strip(string.punctuation))
                     continue
-                x[n, :-2] += ((not quoted) * (not far), (not quoted) * bool(far), quoted * (not far), quoted * bool(far),
+                if far == LOOSE:
+                    x[n, -3] += not quoted
+                    continue
+                x[n, :-3] += ((not quoted) * (not far), (not quoted) * bool(far), quoted * (not far), quoted * bool(far),
                               addressed * (not quoted), crowded * (not quoted), reported * quoted)
             x[n, -2:] = bool(inflected), max(0, len(inflected) - 1)
-        return np.minimum(x, 5.0)
+        return np.minimum(x, SOFT) + np.log1p(np.maximum(x - SOFT, 0.0))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.weights[0] + self.features(texts) @ self.weights[1:])))
@@ -294,57 +312,73 @@ def _by_family(texts: list[str], labels: list[int], toxic: bool, kept) -> list[s
     out: dict[int, set[str]] = {}
     for t, y in zip(texts, labels):
         if bool(y) == toxic:
-            words = set(re.findall(r"[^\W\d_]{4,20}", t.lower()))
-            out.setdefault(min((crc32(w.encode()) for w in words), default=0), set()).update(kept(words))
+            words = set(re.findall(r"[^\W\d_]{2,}", t.lower()))
+            # short words are common, and would make families of strangers
+            out.setdefault(min((crc32(w.encode()) for w in words if len(w) > 3), default=0), set()).update(kept(words))
     return list(out.values())
 
 
-def mined_stems(texts: list[str], labels: list[int], limit: int = MAX_TERMS, support: int = 8) -> list[str]:
-    """Beginnings of 3 to 12 letters of longer words that tell toxic texts apart.
+def by_chance(n: int, others: int, rate: float) -> float:
+    """The chance that n or more of n + others families are toxic, if each is at this rate."""
+    m = n + others
+    return sum(exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * log(rate) + (m - k) * log1p(-rate)) for k in range(n, m + 1))
+
 
-    In at least `support` and 3 % of the toxic texts, at most 15 % as common in others; of those that
-    begin alike the most common one, and then the longest. A family of copies counts once.
+def mined_stems(texts: list[str], labels: list[int], chance: float = CHANCE, support: int = 5) -> list[str]:
+    """Beginnings, of three letters at least, of longer words that tell toxic texts apart.
+
+    In at least `support` toxic families of copies, at most 15 % as common in others, and more often than chance
+    would have it over all beginnings looked at; of those that begin alike the most common one, then the longest.
     """
     toxic = _by_family(texts, labels, True, set)
     count: dict[str, int] = {}
-    for k in range(3, 13):  # a longer beginning is no more common than a shorter one
-        here = Counter(s for h in toxic for s in {w[:k] for w in h if len(w) > k and (k == 3 or w[: k - 1] in count)})
-        count |= {s: n for s, n in here.items() if n >= max(support, 0.03 * len(toxic))}
-    clean = _by_family(texts, labels, False, lambda h: {w[:k] for w in h for k in range(3, min(13, len(w))) if w[:k] in count})
+    looked, k, here = 0, 3, {"": 0}
+    while here:  # a longer beginning is no more common than a shorter one
+        found = Counter(s for h in toxic for s in {w[:k] for w in h if len(w) > k and (k == 3 or w[: k - 1] in count)})
+        here = {s: n for s, n in found.items() if n >= support}
+        looked, k = looked + len(found), k + 1
+        count |= here
+    most = max(map(len, count), default=0)
+    clean = _by_family(texts, labels, False, lambda h: {w[:k] for w in h for k in range(3, min(most + 1, len(w))) if w[:k] in count})
     others = Counter(s for h in clean for s in h)
-    good = [(n, len(s), s) for s, n in count.items() if others[s] / max(1, len(clean)) <= 0.15 * n / len(toxic)]
+    rate = len(toxic) / max(1, len(toxic) + len(clean))
+    good = [
+        (n, len(s), s) for s, n in count.items()
+        if others[s] / max(1, len(clean)) <= 0.15 * n / len(toxic) and (not clean or by_chance(n, others[s], rate) * looked < chance)
+    ]
     out: list[str] = []
     for _, _, s in sorted(good, reverse=True):
-        if len(out) < limit and not any(s.startswith(o) or o.startswith(s) for o in out):
+        if not any(s.startswith(o) or o.startswith(s) for o in out):
             out.append(s)
     return out
 
 
-def mined(texts: list[str], labels: list[int], limit: int = MAX_TERMS, support: int = 5, stems: tuple[str, ...] = ()) -> list[str]:
-    """Words that tell toxic texts apart: in at least `support` and 6 % of the toxic texts, at most 2 % as common in others.
-
-    Words that begin with one of `stems` are left to them. A family of copies counts once.
+def mined(texts: list[str], labels: list[int], chance: float = CHANCE, support: int = 5, stems: tuple[str, ...] = ()) -> list[str]:
+    """Words that tell toxic texts apart: in at least `support` toxic families of copies, at most 2 % as common in others,
+    and more often than chance would have it over all words looked at. Words that begin with one of `stems` are left to them.
     """
     left = _by_family(texts, labels, True, lambda h: {w for w in h if not w.startswith(stems)} if stems else h)
     n_toxic, out = max(1, len(left)), []
-    least = max(support, 0.06 * n_toxic)
-    often = {w for w, n in Counter(w for h in left for w in h).items() if n >= least}
+    whole = Counter(w for h in left for w in h)
+    often = {w for w, n in whole.items() if n >= support}
     others = _by_family(texts, labels, False, often.intersection)
     clean = Counter(w for h in others for w in h)
-    often = {w for w in often if clean[w] / max(1, len(others)) <= 0.02}
+    rate = n_toxic / (n_toxic + len(others))
+    often = {
+        w for w in often
+        if clean[w] / max(1, len(others)) <= 0.02 * whole[w] / n_toxic and (not others or by_chance(whole[w], clean[w], rate) * len(whole) < chance)
+    }
     left = [h & often for h in left]
-    while left and len(out) < limit:
+    while True:
         count = Counter(w for h in left for w in h)
-        good = [(n, w) for w, n in count.items() if n >= least and clean[w] / max(1, len(others)) <= 0.02 * n / n_toxic]
-        if not good:
-            break
-        out.append(max(good)[1])
+        if not count:
+            return out
+        out.append(max(count, key=lambda w: (count[w], w)))
         left = [h for h in left if out[-1] not in h]
-    return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, max_bytes: int = FIT_BYTES, terms=SEED_TERMS) -> Detector:
-    sample = labelled_sample(docs, labels, "toxic", rows, max_bytes)
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, total_bytes: int = FIT_BYTES, terms=SEED_TERMS) -> Detector:
+    sample = labelled_sample(docs, labels, "toxic", rows, total_bytes)
     texts, y = [t for t, _ in sample], [v for _, v in sample]
     stems = tuple(s for s in mined_stems(texts, y) if not any(t.startswith(s) or s.startswith(t) for t in terms))
     found = Detector(FuzzyLexicon([*terms, *mined(texts, y, stems=stems)]), stems=stems)
