@@ -15,8 +15,8 @@ rest. With the default budget the source that is repeated least is read exactly
 document is kept and the others are repeated.
 
 Defined results: a null source is a source of its own; a null or empty text counts one token;
-repeated rows count each; an empty table gives an empty result; other columns stay as they are,
-except that names beginning with `_mix` are reserved.
+repeated rows and rows with a null id count each; an empty table gives an empty result; other columns
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +28,17 @@ from pyspark.sql import functions as F
 
 from cairnlog.llm.common import written
 
-#: Mean documents of a block.
-BLOCK_ROWS = 64
+#: Mean documents of a block, how many times that makes a block one to be split, and how many blocks `mixed` has at most, about.
+BLOCK_ROWS, HOT, BLOCKS = 64, 16, 1 << 16
+#: Small tables are broadcast up to this many rows, counted first.
+BROADCAST_ROWS = 200_000
 LEVELS = 5
 MAX_REPEATS = 2.0
 
 
 def tokens(text: Column) -> Column:
     """White-space tokens of a text, one at least."""
-    return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))).cast("long")
+    return F.greatest(F.lit(1), F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))).cast("long")
 
 
 def exponent(sizes: DataFrame, entropy: float | None, repeats: float | None, rounds: int = 6) -> float:
@@ -87,38 +89,78 @@ def plan(
 ) -> DataFrame:
     """A row for each time that a row of docs (doc_id, text, source) is read.
 
-    doc_id, source, tokens, epoch, block, position (in the block's epoch), weight and alpha;
+    doc_id, source, tokens, epoch, block, position (in the block's part and epoch), weight and alpha;
     mix_order is the fraction of its block's budget that came before, and sorting by it interleaves
     sources by weight. budget: tokens in all; by default the least that reads all sources once.
     """
-    rows = written(docs.select("doc_id", "source", tokens(F.col("text")).alias("_mix_n")), "mix")
-    return _plan(rows, entropy, repeats, budget, seed, block_rows)
+    rows = docs.select("doc_id", "source", tokens(F.col("text")).alias("_mix_n"), F.monotonically_increasing_id().alias("_mix_row"))
+    rows = written(rows, "mix")
+    shares, alpha = _shares(rows, entropy, repeats, budget, block_rows)
+    dealt = _dealt(rows, shares, seed, block_rows)
+    read = _read(dealt, seed, F.sequence(F.lit(0), F.greatest(F.ceil("_mix_reads") - 1, F.lit(0)).cast("int")), ["doc_id", "_mix_n"])
+    return read.select(
+        "doc_id", "source", F.col("_mix_n").alias("tokens"), F.col("_mix_epoch").alias("epoch"),
+        F.col("_mix_block").alias("block"), F.col("_mix_position").cast("long").alias("position"),
+        ((F.col("_mix_epoch") + F.col("_mix_before") / F.col("_mix_of")) / F.col("_mix_reads")).alias("mix_order"),
+        F.col("_mix_weight").alias("weight"), F.lit(alpha).alias("alpha"),
+    )
 
 
-def _plan(rows, entropy, repeats, budget, seed, block_rows) -> DataFrame:
-    sizes = written(
-        rows.groupBy("source").agg(F.sum("_mix_n").alias("_mix_tokens"), F.count(F.lit(1)).alias("_mix_rows")), "sizes"
-    )
+def _shares(rows: DataFrame, entropy, repeats, budget, block_rows) -> tuple[DataFrame, float]:
+    """_mix_source, _mix_weight, _mix_reads (of each of its tokens) and _mix_blocks of every source; and the exponent."""
+    sizes = written(rows.groupBy("source").agg(F.sum("_mix_n").alias("_mix_tokens"), F.count(F.lit(1)).alias("_mix_rows")), "sizes")
     alpha = exponent(sizes, entropy, repeats)
     shares = weights(sizes, alpha)
     if budget is None:
         budget = shares.agg(F.max(F.col("_mix_tokens") / F.col("_mix_weight"))).first()[0] or 0.0
     # reads of a source's tokens; a hair's breadth below a whole number is that number
     reads = F.round(F.col("_mix_weight") * F.lit(float(budget)) / F.col("_mix_tokens"), 9)
-    shares = shares.select(
-        F.col("source").alias("_mix_source"), "_mix_weight", reads.alias("_mix_reads"),
-        F.ceil(F.col("_mix_rows") / F.lit(block_rows)).alias("_mix_blocks"),
-    )
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    dealt = rows.join(shares, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn(
-        "_mix_block", F.pmod(F.xxhash64(name, F.lit(seed)), F.col("_mix_blocks")).cast("long")
-    )
-    epochs = F.sequence(F.lit(0), F.greatest(F.ceil("_mix_reads") - 1, F.lit(0)).cast("int"))
-    read = dealt.withColumn("_mix_epoch", F.explode(epochs)).withColumn(
-        "_mix_key", F.xxhash64(name, F.lit(seed + 1), "_mix_epoch")
-    )
-    block = Window.partitionBy("_mix_source", "_mix_block", "_mix_epoch")
-    order = block.orderBy("_mix_key", "doc_id", "_mix_n")
+    return shares.select(
+        F.col("source").alias("_mix_source"), "_mix_weight", reads.alias("_mix_reads"), F.ceil(F.col("_mix_rows") / F.lit(block_rows)).alias("_mix_blocks")
+    ), alpha
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A table with a broadcast hint, if counting shows that it is small; else as it is."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _number(text: Column, digits: int) -> Column:
+    """The first hex digits of a text's MD5 as a number: any engine can compute it."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
+def _name() -> Column:
+    return F.coalesce(F.concat(F.lit("k"), F.col("doc_id").cast("string")), F.lit("null"))
+
+
+def _dealt(rows: DataFrame, shares: DataFrame, seed: int, block_rows: int) -> DataFrame:
+    """rows with their source's share, _mix_block by a hash of the id, and _mix_part.
+
+    Rows of one id, or of none, are one block however many there are; blocks far above the mean
+    are dealt to parts by the rows themselves.
+    """
+    block = _number(F.concat(_name(), F.lit(f"/block/{seed}")), 8) % F.col("_mix_blocks")
+    dealt = rows.join(_few(shares), F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source").withColumn("_mix_block", block.cast("long"))
+    hot = dealt.groupBy("source", "_mix_block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT * block_rows)
+    hot = written(hot.select(F.col("source").alias("_mix_from"), F.col("_mix_block").alias("_mix_at"), F.ceil(F.col("n") / F.lit(block_rows)).alias("_mix_parts")), "hot")
+    if hot.isEmpty():
+        return dealt.withColumn("_mix_part", F.lit(0).cast("long"))
+    same = F.col("source").eqNullSafe(F.col("_mix_from")) & (F.col("_mix_block") == F.col("_mix_at"))
+    part = F.coalesce(F.pmod(F.xxhash64("_mix_row", F.lit(seed)), F.col("_mix_parts")), F.lit(0)).cast("long")
+    return dealt.join(_few(hot), same, "left").withColumn("_mix_part", part).drop("_mix_from", "_mix_at", "_mix_parts")
+
+
+def _key(epoch: Column, seed: int) -> Column:
+    """What orders the rows of a block in an epoch."""
+    return _number(F.concat(_name(), F.lit("/"), epoch.cast("string"), F.lit(f"/{seed}")), 15)
+
+
+def _read(dealt: DataFrame, seed: int, epochs: Column, ties: list[str]) -> DataFrame:
+    """A row for each of the epochs in which a row's block reaches it, with what comes before it there."""
+    read = dealt.withColumn("_mix_epoch", F.explode(epochs)).withColumn("_mix_key", _key(F.col("_mix_epoch"), seed))
+    block = Window.partitionBy("source", "_mix_block", "_mix_part", "_mix_epoch")
+    order = block.orderBy("_mix_key", *ties, "_mix_row")
     before = F.coalesce(F.sum("_mix_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     due = F.col("_mix_of") * (F.col("_mix_reads") - F.col("_mix_epoch"))
     return (
@@ -126,24 +168,34 @@ def _plan(rows, entropy, repeats, budget, seed, block_rows) -> DataFrame:
         .withColumn("_mix_before", before)
         .withColumn("_mix_position", F.row_number().over(order) - 1)
         .where((F.col("_mix_before") < due) | (F.col("_mix_reads") >= F.col("_mix_epoch") + 1))
-        .select(
-            "doc_id", "source", F.col("_mix_n").alias("tokens"), F.col("_mix_epoch").alias("epoch"),
-            F.col("_mix_block").alias("block"), F.col("_mix_position").cast("long").alias("position"),
-            ((F.col("_mix_epoch") + F.col("_mix_before") / F.col("_mix_of")) / F.col("_mix_reads")).alias("mix_order"),
-            F.col("_mix_weight").alias("weight"), F.lit(alpha).alias("alpha"),
-        )
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns kept, each as often as the mix reads it. Null ids are read once."""
-    reads = plan(docs.where("doc_id IS NOT NULL"), **options)
-    times = reads.groupBy("doc_id", "source").agg(F.max("epoch").alias("_mix_times"))
-    times = times.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_from"), "_mix_times")
-    same = (docs["doc_id"] == times["_mix_id"]) & docs["source"].eqNullSafe(times["_mix_from"])
-    if options.get("budget") is not None:
-        docs_kept = docs.join(times, same)
-    else:
-        docs_kept = docs.join(times, same, "left")
-    each = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_mix_times"), F.lit(0))))
-    return docs_kept.withColumn("_mix_epoch", each).select(*(docs[c] for c in docs.columns))
+def mixed(
+    docs: DataFrame, entropy: float | None = None, repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = 42,
+) -> DataFrame:
+    """The rows of docs, all columns kept whatever their names, each as often as the mix reads it.
+
+    Every row counts for itself, those with a null id or an id that is there before too. Texts are not
+    shuffled: how often a whole source is read, and the last row that each block reads in its last epoch,
+    are small tables that the scan of the rows is joined with. Blocks grow with the table, so that these stay small.
+    """
+    own = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), "doc_id", "source", tokens(F.col("text")).alias("_mix_n"),
+        F.monotonically_increasing_id().alias("_mix_row"),
+    )
+    own = written(own, "mixing")
+    narrow = own.drop("_row")
+    block_rows = max(BLOCK_ROWS, -(-own.select().count() // BLOCKS))
+    shares, _ = _shares(narrow, entropy, repeats, budget, block_rows)
+    last = F.floor("_mix_reads").cast("int")
+    partly = _dealt(narrow, shares, seed, block_rows).where(F.col("_mix_reads") > last)
+    read = _read(partly, seed, F.array(last), [])
+    ends = read.groupBy("source", "_mix_block", "_mix_part").agg(F.max(F.struct("_mix_key", "_mix_row")).alias("_mix_end"))
+    ends = written(ends.select(F.col("source").alias("_mix_from"), F.col("_mix_block").alias("_mix_at"), F.col("_mix_part").alias("_mix_in"), "_mix_end"), "ends")
+    same = F.col("source").eqNullSafe(F.col("_mix_from")) & (F.col("_mix_block") == F.col("_mix_at")) & (F.col("_mix_part") == F.col("_mix_in"))
+    rows = _dealt(own, shares, seed, block_rows).join(_few(ends), same, "left")
+    more = F.coalesce(F.struct(_key(last, seed).alias("_mix_key"), F.col("_mix_row")) <= F.col("_mix_end"), F.lit(False))
+    times = last + F.when(more, F.lit(1)).otherwise(F.lit(0))
+    each = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))
+    return rows.select("_row", each.alias("_mix_time")).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

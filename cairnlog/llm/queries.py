@@ -15,7 +15,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(table(spark, sf_dir, "documents"))
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    return found.withColumns({"mix_order": F.round("mix_order", 6), "weight": F.round("weight", 9), "alpha": F.round("alpha", 7)})
 
 
 def op3_consensus_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,20 @@ sized AS (SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(rang
 dealt AS (SELECT *, list_position(u[1:8], list_max(u[1:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown FROM sized)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM dealt"""
-ORACLES: dict[str, str] = {"op10_rendezvous_sharding": _SHARDS}
+#: The least exponent on the bisection's grid that keeps to two reads, the weights, and each block's permutations up to its budget.
+_MIX = """WITH rows_ AS (SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))) AS n,
+  coalesce('k' || CAST(doc_id AS VARCHAR), 'null') AS name FROM documents),
+sizes AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS m FROM rows_ GROUP BY source),
+ex AS (SELECT CASE WHEN max(tokens) = min(tokens) THEN 1 ELSE least(1073741824, greatest(1, ceil(1073741824 * (1 - ln(2) / ln(max(tokens) / min(tokens))))))
+  END / 1073741824 AS alpha FROM sizes),
+total AS (SELECT sum(pow(tokens, alpha)) AS z FROM sizes, ex),
+weighed AS (SELECT source, tokens, m, alpha, pow(tokens, alpha) / z AS weight FROM sizes, ex, total),
+shares AS (SELECT *, round(weight * (SELECT max(tokens / weight) FROM weighed) / tokens, 9) AS reads, CAST(ceil(m / 64) AS BIGINT) AS blocks FROM weighed),
+dealt AS (SELECT r.*, s.alpha, s.weight, s.reads, ('0x' || substr(md5(name || '/block/42'), 1, 8))::BIGINT % s.blocks AS block FROM rows_ r JOIN shares s ON r.source IS NOT DISTINCT FROM s.source),
+read_ AS (SELECT *, ('0x' || substr(md5(name || '/' || CAST(epoch AS VARCHAR) || '/42'), 1, 15))::BIGINT AS key
+  FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(reads) AS BIGINT)))) AS epoch FROM dealt)),
+placed AS (SELECT *, sum(n) OVER b AS whole, coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER o - 1 AS position FROM read_
+  WINDOW b AS (PARTITION BY source, block, epoch), o AS (PARTITION BY source, block, epoch ORDER BY key, doc_id NULLS FIRST, n))
+SELECT doc_id, source, CAST(n AS BIGINT) AS tokens, CAST(epoch AS INTEGER) AS epoch, block, position, round((epoch + before / whole) / reads, 6) AS mix_order,
+  round(weight, 9) AS weight, round(alpha, 7) AS alpha FROM placed WHERE before < whole * (reads - epoch) OR reads >= epoch + 1"""
+ORACLES: dict[str, str] = {"op2_temperature_mixing": _MIX, "op10_rendezvous_sharding": _SHARDS}
