@@ -5,12 +5,13 @@ length. How full sequences can be only depends on how many pieces there are of e
 table of at most `capacity` rows however large the corpus. So the plan is made from that table
 on the driver and rows are then placed by rank:
 
-* Bin completion: a new bin takes the largest length left. Its undominated fillings (no other
-  filling of the gap uses larger pieces in place of the same ones) are enumerated depth first,
-  larger pieces first, with the best-fit filling as first incumbent; a branch is pruned if all
-  that may still be placed leaves no less waste than the incumbent, and the search of a bin ends
-  at a perfect fit or after a documented number of nodes, when the incumbent stands. The filling
-  is used as often as the counts allow, so the plan has a few rows for each length.
+* Bin completion: best-fit decreasing of the whole list is the first incumbent, and stands if it
+  meets the lower bound. Else the search branches over sequences: each takes the largest length
+  left and one of the undominated fillings of its gap (no larger piece left can stand for some of
+  a filling's), the fullest first, as often as the counts allow and then less often. The waste that
+  fewer sequences than the incumbent's leave bounds the fillings, the lower bound of what is left
+  prunes, and the best-fit solution of what is left at each node is the next incumbent. The search is
+  exact with nodes=None; by default it ends after NODES steps, when the incumbent stands.
 * Every piece gets its rank among the pieces of its length: rows are dealt to (length, block)
   cells by a hash, ranked inside, and shifted by the earlier cells. The n-th piece of a length
   takes the n-th place that the plan has for it.
@@ -28,7 +29,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,8 +44,9 @@ from cairnlog.llm.common import gathered_batches, small_batches, written
 
 CAPACITY = 4096
 END = 1
-#: Nodes that the search for one filling may visit before its incumbent stands.
-NODES = 2000
+#: Steps (pieces tried, and lengths left at each node) of the search for fewer sequences than the incumbent has, before that
+#: stands. None: search to the end.
+NODES = 2_000_000
 #: Cells that the pieces of one length are dealt to for ranking, at least, and rows of a cell beyond which there are more.
 BLOCKS, BLOCK_ROWS = 256, 100_000
 
@@ -178,75 +182,214 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end:
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def completion(lengths: list[int], left: dict[int, int], gap: int, nodes: int = NODES) -> list[int]:
-    """The best filling of `gap` by the lengths left (sorted, with counts): least waste, larger pieces first."""
-
-    def next_fit(room: int, below: int) -> int:
-        return bisect_right(lengths, min(room, below)) - 1
-
-    best: list[int] = []
-    room, i = gap, next_fit(gap, gap)
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """No plan has fewer sequences: for every k, pieces above capacity - k share with none of k or more, and the rest need their room."""
+    n = np.zeros(capacity + 1, np.int64)
+    for x, m in counts.items():
+        n[x] = m
+    count, size = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1)))
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2
+    alone = count[-1] - count[capacity - k + 1]
+    large, large_size = count[capacity - k + 1] - count[half + 1], size[capacity - k + 1] - size[half + 1]
+    small_size = size[half + 1] - size[np.minimum(k, half + 1)]
+    beyond = np.maximum(0, -(-(small_size - (large * capacity - large_size)) // capacity))
+    return int((alone + large + beyond).max())
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing of the whole list, a length at a time: fillings and how often each is used."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by the room left
+    rooms: list[int] = []  # those of open_, ascending
+
+    def add(room: int, bin_: tuple[int, ...], times: int) -> None:
+        if room not in open_:
+            insort(rooms, room)
+        open_.setdefault(room, []).append((bin_, times))
+
+    for x in sorted(counts, reverse=True):
+        n = counts[x]
+        while n:
+            at = bisect_left(rooms, x)
+            if at == len(rooms):  # none has room: new ones, as full of x as can be
+                each = min(n, capacity // x)
+                add(capacity - each * x, (x,) * each, n // each)
+                n -= each * (n // each)
+                continue
+            room = rooms[at]
+            bin_, times = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[at]
+            each = min(n, room // x)  # the tightest stays the tightest until it is too tight
+            filled = min(times, n // each)
+            add(room - each * x, bin_ + (x,) * each, filled)
+            if times > filled:
+                add(room, bin_, times - filled)
+            n -= each * filled
+    return [b for group in open_.values() for b in group]
+
+
+def fillings(left: dict[int, int], gap: int, waste: int, tick=lambda: None):
+    """Undominated fillings of `gap` that waste at most `waste`: the fullest first, of equals those with larger pieces.
+
+    reach[i] has a bit for each sum that the i smallest lengths give, so a branch is entered only if the
+    waste bound can still be met below it. `tick` is called at every step and may stop the search by raising.
+    """
+    lengths = sorted(x for x, n in left.items() if n > 0 and x <= gap)
+    mask = (1 << (gap + 1)) - 1
+    reach = [1]
+    for x in lengths:
+        sums, n, step = reach[-1], min(left[x], gap // x), 1
+        while n > 0:  # 1, 2, 4, ... copies together
+            take = min(step, n)
+            sums |= sums << (x * take) & mask
+            n, step = n - take, step * 2
+        reach.append(sums)
+
+    def exactly(total: int, i: int, chosen: list[int]):
+        todo = [(total, i, 0, 0)]  # room, lengths to choose from, copies of the last, pieces chosen
+        while todo:
+            room, i, copies, depth = todo.pop()
+            tick()
+            del chosen[depth:]
+            if copies:
+                chosen.extend([lengths[i]] * copies)
+            if not room:
+                yield tuple(chosen)
+                continue
+            i = min(i, bisect_right(lengths, room))
+            if not i:
+                continue
+            x = lengths[i - 1]
+            depth = len(chosen)
+            for n in range(min(left[x], room // x) + 1):  # most copies last, so that they are taken first
+                if reach[i - 1] >> (room - n * x) & 1:
+                    todo.append((room - n * x, i - 1, n, depth))
+
+    for total in range(gap, max(-1, gap - waste - 1), -1):
+        if reach[-1] >> total & 1:
+            for found in exactly(total, len(lengths), []):
+                if not dominated(found, left, lengths, gap - total):
+                    yield found
+
+
+def dominated(filling: tuple[int, ...], left: dict[int, int], lengths: list[int], slack: int) -> bool:
+    """Whether one larger piece that is left can stand for some of the filling's: those then fit wherever it would have."""
+    sums, i = 1, len(filling) - 1
     used: dict[int, int] = {}
-    while i >= 0 and room:  # best fit is the first incumbent
-        x = lengths[i]
-        if left[x] > used.get(x, 0):
-            best.append(x)
-            used[x] = used.get(x, 0) + 1
-            room -= x
-            i = next_fit(room, x)
-        else:
-            i -= 1
-    waste, seen = room, 0
-    if not waste or not lengths:
-        return best
-    least, room, i = lengths[0], gap, next_fit(gap, gap)
-    chosen: list[int] = []
-    used = {}
-    while seen < nodes:
-        if i < 0:  # nothing more to try below the last choice: take it back
-            if not chosen:
-                break
-            x = chosen.pop()
-            used[x] -= 1
-            room += x
-            i = bisect_left(lengths, x) - 1
-            continue
-        seen += 1
-        x = lengths[i]
-        if left[x] <= used.get(x, 0) or room - x >= waste and room - x < least:
-            i -= 1  # none left, or it would only close the bin with no less waste
-            continue
-        chosen.append(x)
+    for x in filling:
         used[x] = used.get(x, 0) + 1
-        room -= x
-        if room < waste:
-            waste, best = room, chosen.copy()
-            if not waste:
-                break
-        i = next_fit(room, x)
-    return best
+    for x in lengths:
+        while i >= 0 and filling[i] < x:
+            sums |= sums << filling[i]
+            i -= 1
+        if left[x] > used.get(x, 0):
+            low = max(0, x - slack)
+            if sums >> low & ((1 << (x - low + 1)) - 1):
+                return True
+    return False
+
+
+class _Spent(Exception):
+    """The search has used up its nodes."""
+
 
+def _within(counts: dict[int, int], capacity: int, bins: int, nodes: int | None) -> tuple[list | None, bool, int]:
+    """A plan of at most `bins` sequences if one is found, whether the answer is certain, and the nodes used.
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings (lengths, largest first) and how many sequences each is used for; every piece is placed once."""
+    Depth first over sequences. A node fills one around the largest piece left, as often as the counts allow
+    and then less often; the waste that `bins` sequences leave bounds its fillings. The best-fit solution of
+    what is left ends a branch where it is good enough, and the lower bound of what is left where it is too high.
+    """
+    spent, failed = 0, {}
+
+    def tick(steps: int = 1) -> None:
+        nonlocal spent
+        spent += steps
+        if nodes is not None and spent > nodes:
+            raise _Spent
+
+    def options(left: dict[int, int], room: int, barred: tuple[int, ...] | None):
+        """(filling, times, left after) of a node, the most times first."""
+        top = max(left)
+        rest = {**left, top: left[top] - 1}
+        waste = room * capacity - sum(x * n for x, n in left.items())
+        for found in fillings(rest, capacity - top, waste, tick):
+            bin_ = (top, *found)
+            if bin_ == barred:
+                continue
+            takes = Counter(bin_)
+            for times in range(min(min(left[x] // n for x, n in takes.items()), room), 0, -1):
+                yield bin_, times, {x: n - takes.get(x, 0) * times for x, n in left.items() if n > takes.get(x, 0) * times}
+
+    def opened(left: dict[int, int], room: int, barred) -> tuple[list | None, Iterator | None]:
+        """A finished plan, or the options of the node, or neither where it can't lead to one."""
+        tick(len(left))
+        if least_bins(left, capacity) > room or failed.get(frozenset(left.items()), -1) >= room:
+            return None, None
+        rest = best_fit(left, capacity)
+        if sum(n for _, n in rest) <= room:
+            return rest, None
+        return None, options(left, room, barred)
+
+    try:
+        done, tries = opened(counts, bins, None)
+        path, stack = [], [(tries, counts, bins, None)] if tries else []
+        while stack and done is None:
+            tries, left, room, barred = stack[-1]
+            step = next(tries, None)
+            if step is None:
+                if barred is None:
+                    key = frozenset(left.items())
+                    failed[key] = max(room, failed.get(key, -1))
+                stack.pop()
+                if path:
+                    path.pop()
+                continue
+            bin_, times, after = step
+            # one time more was tried before, so the next sequence around the same piece is another one
+            same = bin_ if after and max(after) == bin_[0] else None
+            done, deeper = opened(after, room - times, same)
+            if done is not None or deeper is not None:
+                path.append((bin_, times))
+            if done is None and deeper is not None:
+                stack.append((deeper, after, room - times, same))
+        return (None if done is None else path + done), True, spent
+    except _Spent:
+        return None, False, spent
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings (lengths, largest first) and how many sequences each is used for; every piece is placed once.
+
+    Best-fit decreasing of the whole list is the first incumbent. Where it has more sequences than the lower bound,
+    the search asks for as few as the bound, raises that as long as it proves them too few, and with what is left
+    of its nodes asks for one less than the incumbent, again and again. nodes None searches to the end: the plan
+    is then the best there is.
+    """
     left = {k: n for k, n in counts.items() if n > 0}
     if any(not 0 < k <= capacity for k in left):
         raise ValueError("a length is outside of 1 to the capacity")
-    lengths, out = sorted(left), []
-    while lengths:
-        top = lengths[-1]
-        left[top] -= 1
-        if not left[top]:
-            lengths.pop()
-        bin_ = (top, *completion(lengths, left, capacity - top, nodes))
-        left[top] = left.get(top, 0) + 1
-        takes = {x: bin_.count(x) for x in bin_}
-        times = min(left[x] // n for x, n in takes.items())
-        out.append((bin_, times))
-        for x, n in takes.items():
-            left[x] -= n * times
-        lengths = [x for x in lengths if left[x]] if not left[top] else sorted({*(x for x in lengths if left[x]), top})
-    return out
+    if not left:
+        return []
+    best = best_fit(left, capacity)
+    used, least = sum(n for _, n in best), least_bins(left, capacity)
+    have = nodes
+    while least < used:
+        found, certain, spent = _within(left, capacity, least, None if have is None else have // 2)
+        have = None if have is None else have - spent
+        if found is not None:
+            return found
+        if not certain:
+            break
+        least += 1
+    while least < used and have is not None and have > 0:
+        found, _, spent = _within(left, capacity, used - 1, have)
+        have -= spent
+        if found is None:
+            break
+        best, used = found, sum(n for _, n in found)
+    return best
 
 
 def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -262,7 +405,7 @@ def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, nodes: int | None = NODES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     cut = written(pieces(docs, tokenizer_path, capacity, end), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows

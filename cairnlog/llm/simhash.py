@@ -4,7 +4,8 @@ A fingerprint's 64 bits are cut into segments. Two fingerprints with at most `bi
 bits differ by at most t_i bits in at least one segment i, whenever the sum of (t_i + 1) is
 above `bits`. So each fingerprint probes, in segment i, the values in the Hamming ball of
 radius t_i around its own, meets every fingerprint filed under such a value, and the whole
-distance is verified. The segments are about 21 bits and their radii 1, 1 and 0 for 4 bits.
+distance is verified. How many segments there are follows from the number of fingerprints: many
+short ones have small balls, few long ones have small buckets (`segments_for`).
 
 Copies are one fingerprint. A bucket that very many different fingerprints share is first tied
 to two pivots (one row a member, not all pairs); a probe then only meets members of a bucket
@@ -20,6 +21,7 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,24 @@ from cairnlog.llm.graph import components
 WORDS = 4  # of a shingle
 BITS = 4  # that may differ
 SEED = 42
-#: (first bit, bits, radius) of the segments. Radii plus one must add up to more than BITS.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+LEAST_BITS = 20  # of a segment
+
+
+def segments_for(n: int, bits: int = BITS) -> tuple[tuple[int, int, int], ...]:
+    """(first bit, bits, radius) of the segments with least work for n fingerprints spread evenly.
+
+    Work is lookups and candidates: balls times what a bucket holds. The radii plus one add up to bits + 1.
+    Fingerprints of texts crowd in short segments, so none is below LEAST_BITS.
+    """
+    best = None
+    for k in range(1, min(bits + 1, 64 // LEAST_BITS) + 1):
+        edges = [64 * i // k for i in range(k + 1)]
+        radii = [(bits + k - i) // k - 1 for i in range(k)]
+        found = tuple((a, b - a, t) for a, b, t in zip(edges, edges[1:], radii))
+        work = sum(sum(comb(w, r) for r in range(t + 1)) * (1 + n / 2**w) for _, w, t in found)
+        if best is None or work < best[0]:
+            best = (work, found)
+    return best[1]
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -108,8 +126,9 @@ def _probes(fps: DataFrame, segments) -> DataFrame:
     )
 
 
-def links(fps: DataFrame, bits: int = BITS, segments=SEGMENTS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, segments=None) -> DataFrame:
     """(fp, root): the group of every fingerprint of fps (fp long, n long), which has each of them once."""
+    segments = segments or segments_for(fps.count(), bits)
     if sum(t + 1 for _, _, t in segments) <= bits:
         raise ValueError("the segments' radii are too small for this distance")
     filed = _filed(fps.select("fp", "n"), segments)
@@ -145,7 +164,7 @@ def links(fps: DataFrame, bits: int = BITS, segments=SEGMENTS) -> DataFrame:
     return now.join(merged, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, segments=SEGMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, segments=None) -> DataFrame:
     """(doc_id, fp long, component_id): the component's smallest doc_id, for every row of docs (doc_id, text)."""
     prints = written(fingerprints(docs, words), "prints")
     fps = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "fps")
@@ -161,12 +180,22 @@ def hexed(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, segments=SEGMENTS) -> DataFrame:
-    """The rows of docs, all columns kept, that stay: of each group the one with the smallest doc_id.
+def one_of_each(docs: DataFrame, words: int = WORDS, bits: int = BITS, segments=None) -> DataFrame:
+    """The rows of docs, all columns kept whatever their names, that stay: one row of each group.
 
-    A doc_id that occurs twice stays once. A group of null ids alone stays as one row.
+    It is that with the smallest doc_id, null ids last; of rows with the same id that with the least hash of
+    its text, then the first in the table. Groups of null ids each keep a row, and so do groups that share an id.
     """
-    found = near_duplicates(docs, words, bits, segments)
-    heads = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).select(F.col("component_id").alias("_head"))
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    rows = docs.select(
+        F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.monotonically_increasing_id().alias("_n"), F.col("doc_id").alias("_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+    rows = written(rows.select("_row", "_n", "_id", F.xxhash64("text").alias("_h")), "rows")
+    text = F.col("_row").getField("text").cast("string")
+    prints = written(fingerprints(rows.select(F.struct("_n", "_id", "_h").alias("doc_id"), text.alias("text")), words), "prints")
+    first = F.min(F.struct(F.col("doc_id._id").isNull().alias("none"), F.col("doc_id._id").alias("id"), F.col("doc_id._h").alias("h"), F.col("doc_id._n").alias("n")))
+    fps = written(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), first.alias("first")), "fps")
+    groups = fps.join(links(fps.select("fp", "n"), bits, segments), "fp")
+    heads = groups.groupBy("root").agg(F.min("first")["n"].alias("_n"))
+    kept = rows.join(heads.select("_n"), "_n", "left_semi")
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -88,9 +88,38 @@ def test_mixing_targets(spark):
 
 
 def test_mixed_keeps_rows(odd_docs, no_docs):
-    got = mixing.mixed(odd_docs, block_rows=4)
-    assert got.columns == odd_docs.columns and mixing.mixed(no_docs).count() == 0
-    assert {r.doc_id for r in got.collect()} == {r.doc_id for r in odd_docs.collect()}
+    clash = odd_docs.withColumnsRenamed({"seg": "_row", "root": "_mix_n", "h": "_mix_row"})
+    got = mixing.mixed(clash)
+    assert got.columns == clash.columns and mixing.mixed(no_docs).count() == 0
+    have, want = Counter(map(str, got.collect())), Counter(map(str, clash.collect()))
+    assert have.keys() == want.keys() and all(want[r] <= have[r] <= 2 * want[r] for r in want)
+
+
+@pytest.mark.parametrize("budget", [None, 700.0, 50.0])
+def test_mixed_counts_each_row(spark, monkeypatch, budget):
+    """Repeated rows and null ids are read as often as any other, and a hot id is split."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(mixing, "HOT", 2)
+    rows = [(1, "x y", "a")] * 100 + [(None, "x", "a")] * 50 + [(None, f"x {i}", None) for i in range(30)] + [(i, "w", "b") for i in range(200)] + [(7, f"v {i} z", "c") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    got = mixing.mixed(docs, repeats=4.0, budget=budget).collect()
+    alpha = mixing.exponent(spark.createDataFrame([(s, n) for s, n in size.items()], "source string, _mix_tokens long"), None, 4.0)
+    z = sum(n**alpha for n in size.values())
+    total = budget or max(n / (n**alpha / z) for n in size.values())
+    read, own = Counter(), Counter((r, s) for r, _, s in rows)
+    for r in got:
+        read[r.source] += len(r.text.split())
+    for s, n in size.items():
+        due, rows_of = n**alpha / z * total, sum(x[2] == s for x in rows)
+        assert due - 1e-6 <= read[s] <= due + 3 * (rows_of + 1)
+        if budget is None:
+            assert {(r.doc_id, r.source) for r in got} == own.keys()
+    assert sum(read.values()) <= total + 3 * len(rows) / 2  # a document beyond each block's budget at most
+    planned = mixing.plan(docs, repeats=4.0, budget=budget, block_rows=4)
+    assert abs(planned.count() - len(got)) < 40
 
 
 def brute_fingerprint(text):
@@ -123,9 +152,30 @@ def test_simhash(request, kind):
     want = Counter((r.doc_id, f"{f:016x}", c) for r, f, c in zip(own, fps, comp))
     got = simhash.near_duplicates(docs).select("doc_id", simhash.hexed("fp").alias("f"), "component_id")
     assert Counter(map(tuple, got.collect())) == want
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(set(comp))
+    kept = simhash.one_of_each(docs.withColumnRenamed("lang", "_n"))
+    assert kept.columns == docs.withColumnRenamed("lang", "_n").columns
+    groups = brute_components(list(range(len(own))), fps)
+    heads = {}
+    for i, g in enumerate(groups):
+        heads.setdefault(g, set()).add(own[i].doc_id)
+    least = Counter(min((d for d in ids if d is not None), default=None) for ids in heads.values())
+    assert Counter(r.doc_id for r in kept.collect()) == least
+
+
+def test_one_of_each_loses_no_group(spark):
+    a, b, c = ("one two three four five six " * 9, "red blue green yellow pink black " * 9, "up down left right front back " * 9)
+    rows = [(None, a), (None, b), (None, b), (5, a), (5, c), (5, c), (7, c.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, simhash.one_of_each(docs).collect())) == Counter([(5, a), (None, b), (5, c)])
+
+
+@pytest.mark.parametrize("n", [10, 10**5, 10**8, 10**12])
+def test_segments_for(n):
+    for bits in (0, 1, 3, 4, 7):
+        found = simhash.segments_for(n, bits)
+        assert sum(t + 1 for _, _, t in found) == bits + 1 and sum(w for _, w, _ in found) == 64
+        assert [i for i, _, _ in found] == [sum(w for _, w, _ in found[:k]) for k in range(len(found))]
+    assert len(simhash.segments_for(10**10)) < len(simhash.segments_for(10**5))
 
 
 def test_simhash_links_random(spark):
@@ -140,16 +190,20 @@ def test_simhash_links_random(spark):
                 f ^= 1 << b
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = dict(simhash.links(spark.createDataFrame([(f, 1) for f in signed], "fp long, n long")).collect())
+    some = spark.createDataFrame([(f, 1) for f in signed], "fp long, n long")
+    got = dict(simhash.links(some).collect())
     want = brute_components(signed, fps)
-    assert len(got) == len(fps)
+    assert len(got) == len(fps) and got == dict(simhash.links(some, segments=simhash.segments_for(10**10)).collect())
     pairs = defaultdict(set)
     for f, w in zip(signed, want):
         pairs[w].add(got[f])
     assert all(len(x) == 1 for x in pairs.values()) and len(set(got.values())) == len(pairs)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [graph.BROADCAST_ROWS, 20])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(graph, "HOT_ROWS", 50)
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(7, 7)]
     got = dict(graph.components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert len({got[i] for i in range(201)}) == 1 and len({got[i] for i in range(1000, 1300)}) == 1
