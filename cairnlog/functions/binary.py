@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnlog.model import TAG_PUT
+
 
 def little(n: Column, size: int = 8) -> Column:
     """A whole number as `size` little-endian bytes."""
@@ -56,23 +63,49 @@ def run_record(tstamp: Column, deleted: Column, key: Column, value: Column) -> C
     return F.concat(little(tstamp), little(size_of(key)), little(size_of(value)), flag, key.cast("binary"), value.cast("binary"))
 
 
-def wal_decoded(record: Column) -> Column:
-    """tag, tstamp, key_size, value_size, key, value, crc and body of a WAL record; sizes as decimals, unchecked."""
-
-    def sizes(r: Column) -> Column:
-        tag = F.conv(F.hex(F.substring(r, 1, 1)), 16, 10).cast("int")
-        value_size = F.when(tag == 4, from_little(r, 18)).otherwise(F.lit(0).cast("decimal(20,0)"))
-        return F.struct(r.alias("r"), tag.alias("tag"), from_little(r, 10).alias("k"), value_size.alias("v"))
-
-    def parts(s: Column) -> Column:
-        r, put = s["r"], s["tag"] == 4
-        head, size = F.when(put, F.lit(25)).otherwise(F.lit(17)), F.octet_length(s["r"])
-        # a size beyond the record takes what is there; the caller compares sizes
-        k, v = F.least(s["k"], size).cast("int"), F.least(s["v"], size).cast("int")
-        return F.struct(
-            s["tag"].alias("tag"), from_little(r, 2).cast("long").alias("tstamp"), s["k"].alias("key_size"), s["v"].alias("value_size"),
-            F.substring(r, head + 1, k).alias("key"), F.when(put, F.substring(r, head + 1 + k, v)).alias("value"),
-            from_little(r, size - 3, 4).cast("long").alias("crc"), F.substring(r, F.lit(1), size - 4).alias("body"),
-        )
-
-    return _let(_let(record, sizes), parts)
+#: What `wal_decoded` gives of a record; sizes beyond a long are the largest long, and unchecked.
+WAL_FIELDS = "n int, tag int, tstamp long, key_size long, value_size long, key binary, value binary, crc_ok boolean"
+
+
+def wal_decoded(records: DataFrame, column: str) -> DataFrame:
+    """WAL_FIELDS of every WAL record in a binary column, read from the bytes of whole Arrow batches.
+
+    Key and value are as much as the record has; the caller compares sizes. A null record is an empty one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            records = b.column(0).fill_null(b"").cast(pa.large_binary())
+            m, offsets = len(records), np.frombuffer(records.buffers()[1], np.int64, len(records) + 1 + records.offset)[records.offset :]
+            data = np.frombuffer(records.buffers()[2], np.uint8) if m and records.buffers()[2] is not None else np.empty(0, np.uint8)
+            start, n = offsets[:-1], np.diff(offsets)
+            data = np.append(data, np.zeros(32, np.uint8))  # what a short record lacks reads as zeros
+
+            def number(at: np.ndarray, size: int = 8, data=data, start=start, n=n) -> np.ndarray:
+                digits = data[np.minimum(start + at, len(data) - 9)[:, None] + np.arange(size)].astype(np.uint64)
+                digits[at[:, None] + np.arange(size) >= n[:, None]] = 0
+                return (digits << np.arange(0, 8 * size, 8, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+            fixed = lambda at, m=m: np.full(m, at, np.int64)
+            tag = number(fixed(0), 1).astype(np.int64)
+            put = tag == TAG_PUT
+            long = lambda x: np.minimum(x, np.uint64(2**63 - 1)).astype(np.int64)
+            tstamp, k, v = number(fixed(1)).view(np.int64), long(number(fixed(9))), np.where(put, long(number(fixed(17))), 0)
+            head = np.where(put, 25, 17)
+            crc = number(np.maximum(0, n - 4), 4)
+            keys, values, ok = [], [], []
+            for i, (at, size) in enumerate(zip(start.tolist(), n.tolist())):
+                raw = data[at : at + size].tobytes()
+                h, ke = int(head[i]), int(head[i] + min(k[i], size))
+                keys.append(raw[h:ke])
+                values.append(raw[ke : ke + min(int(v[i]), size)] if put[i] else None)
+                ok.append(size >= 4 and zlib.crc32(raw[:-4]) == crc[i])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(n.astype(np.int32)), pa.array(tag.astype(np.int32)), pa.array(tstamp), pa.array(k), pa.array(v),
+                    pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array(ok, pa.bool_()),
+                ],
+                [f.split()[0] for f in WAL_FIELDS.split(", ")],
+            )
+
+    return records.select(column).mapInArrow(run, WAL_FIELDS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def running_total(rows: DataFrame, order: str, value: Column, out: str, span: int = 4096, levels: int = 2) -> DataFrame:
-    """rows with `out`: the sum of value over the rows before, in the order of a whole-number column.
+    """rows with `out`: the sum of value over the rows before, in the order of a whole-number column, nulls first.
 
     Rows are summed inside spans of the order column, and the spans' sums in the same way, for so many
     levels. Only the last level's sums, one row for span ** levels numbers, are ordered in one place.
@@ -22,4 +22,5 @@ def running_total(rows: DataFrame, order: str, value: Column, out: str, span: in
     else:
         sums = sums.withColumn(base, before("_sum", Window.orderBy(near)))
     inside = rows.withColumn(inner, before(own, Window.partitionBy(near).orderBy(order)))
-    return inside.join(sums.drop("_sum"), near).withColumn(out, F.col(base) + F.col(inner)).drop(near, own, inner, base)
+    sums = sums.drop("_sum").withColumnRenamed(near, f"{near}_")
+    return inside.join(sums, F.col(near).eqNullSafe(F.col(f"{near}_"))).withColumn(out, F.col(base) + F.col(inner)).drop(near, f"{near}_", own, inner, base)

@@ -52,4 +52,4 @@ class SizeLimit(KVError, ValueError):
 
 
 #: Reasons of a corruption report.
-REASONS = ("CrcMismatch", "LengthMismatch", "BufferExceedsMaxLength", "MetadataSizeOverflow", "MetaDataSizeExceedsFileSize", "Other")
+REASONS = ("CrcMismatch", "LengthMismatch", "BufferExceedsMaxLength", "MetadataSizeOverflow", "MetaDataSizeExceedsFileSize", "InvalidUtf8", "Other")

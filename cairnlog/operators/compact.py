@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairnlog.functions.binary import size_of
 from cairnlog.model import RECORD_HEAD
 from cairnlog.operators.resolve import latest, live
+from cairnlog.operators.verify import failfast
 
 
 def record_bytes() -> Column:
@@ -34,11 +35,13 @@ def immutable(log: DataFrame) -> DataFrame:
     return log.join(F.broadcast(newest), F.col("seg") < F.col("_active")).drop("_active")  # one row
 
 
-def merged(log: DataFrame) -> DataFrame:
+def merged(log: DataFrame, ok: Column | None = None) -> DataFrame:
     """Rows of immutable segments that a merge keeps: those that are their key's live version.
 
-    A tombstone goes too, as resolution has looked at every segment and no older version is left.
+    A tombstone goes too, as resolution has looked at every segment and no older version is left. ok: whether
+    a row's checksum is right; a merge of a damaged log fails.
     """
+    log = log if ok is None else failfast(log, ok)
     return immutable(log).join(live(log).select("key", "seq"), ["key", "seq"], "left_semi")
 
 

@@ -1,11 +1,17 @@
 """A store on Parquet: sorted runs of the log in a folder, with the calls of an embedded key-value store.
 
 Writes are collected and committed as one run; a commit is one Parquet write, so a reader sees all
-of it or none. Reads resolve versions by seq and see what has been put but not committed yet.
+of it or none. Reads resolve versions by seq and see what has been put but not committed yet. A run's
+number is claimed by a file that can be made only once, and the versions in it are numbered from it, so of
+several writers on one folder each has runs of its own and later ones win.
+
+What has been put is committed when asked, or when flush_ops have been collected; `sync_every` makes
+every put commit what is older than so many seconds (0: each put at once).
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +23,27 @@ from cairnlog.operators.resolve import live
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, flush_ops: int = 10_000):
-        self.spark, self.path, self.flush_ops = spark, path.rstrip("/"), flush_ops
-        self.pending: list[tuple] = []
-        last = self._committed().agg(F.max("seq"), F.max("seg")).first()
-        self.seq, self.seg = (last[0] if last[0] is not None else -1), (last[1] if last[1] is not None else -1)
+    def __init__(self, spark: SparkSession, path: str, flush_ops: int = 10_000, sync_every: float | None = None):
+        self.spark, self.path, self.flush_ops, self.sync_every = spark, path.rstrip("/"), flush_ops, sync_every
+        self.pending: list[tuple[str, bool, str]] = []
+        self.synced = time.monotonic()
+
+    def _claim(self) -> int:
+        """The number of a run of one's own, above all that are there."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims")
+        fs = folder.getFileSystem(conf)
+        fs.mkdirs(folder)
+        taken = [int(s.getPath().getName()) for s in fs.listStatus(folder)]
+        last = self._committed().agg(F.max("seg")).first()[0]
+        seg = max([*taken, -1 if last is None else last]) + 1
+        while not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{seg}")):
+            seg += 1
+        return seg
+
+    def _numbered(self, seg: int) -> DataFrame:
+        """What has been put but not committed, as rows of a run."""
+        return self.spark.createDataFrame([(k, (seg << 32) + i, seg, d, v) for i, (k, d, v) in enumerate(self.pending)], KV_LOG)
 
     def _exists(self) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -36,13 +58,13 @@ class Store:
     def log(self) -> DataFrame:
         """Every row, those not committed yet among them."""
         kept = self._committed()
-        return kept.unionByName(self.spark.createDataFrame(self.pending, KV_LOG)) if self.pending else kept
+        return kept.unionByName(self._numbered((1 << 31) - 1)) if self.pending else kept
 
     def _add(self, key: str, deleted: bool, value: str) -> None:
         access.check_pair(key, value)
-        self.seq += 1
-        self.pending.append((key, self.seq, self.seg + 1, deleted, value))
-        if len(self.pending) >= self.flush_ops:
+        self.pending.append((key, deleted, value))
+        late = self.sync_every is not None and time.monotonic() - self.synced >= self.sync_every
+        if late or len(self.pending) >= self.flush_ops:
             self.sync()
 
     def put(self, key: str, value: str) -> None:
@@ -52,10 +74,9 @@ class Store:
         """Commit a DataFrame (key, value) as one run; rows with the same key: the greater value stays."""
         self.sync()
         one = access.checked(pairs.groupBy("key").agg(F.max("value").alias("value")))
-        self.seg += 1
-        rows = one.select("key", (F.monotonically_increasing_id() + self.seq + 1).alias("seq"), F.lit(self.seg).cast("long").alias("seg"), F.lit(False).alias("deleted"), "value")
+        seg = self._claim()
+        rows = one.select("key", F.lit(seg << 32).alias("seq"), F.lit(seg).cast("long").alias("seg"), F.lit(False).alias("deleted"), "value")
         rows.write.mode("append").partitionBy("seg").parquet(self.path)
-        self.seq = self._committed().agg(F.max("seq")).first()[0] or self.seq
 
     def delete(self, key: str, strict: bool = False) -> None:
         if strict and self.get(key) is None:
@@ -78,10 +99,9 @@ class Store:
         """Commit what has been put as one sorted run."""
         if not self.pending:
             return
-        rows = self.spark.createDataFrame(self.pending, KV_LOG)
-        out = runs.flushed(rows).coalesce(1).sortWithinPartitions("key")
+        out = runs.flushed(self._numbered(self._claim())).coalesce(1).sortWithinPartitions("key")
         out.write.mode("append").partitionBy("seg").option("parquet.bloom.filter.enabled#key", "true").parquet(self.path)
-        self.pending, self.seg = [], self.seg + 1
+        self.pending, self.synced = [], time.monotonic()
 
     close = sync
 
@@ -97,8 +117,7 @@ class Store:
         names = sorted(r[0] for r in log.select("seg").distinct().collect())  # one row a run
         if len(names) < 2:
             return
-        self.seg = names[-1] + 1
-        keep = compact.merged(log).withColumn("seg", F.lit(self.seg).cast("long"))
+        keep = compact.merged(log).withColumn("seg", F.lit(self._claim()).cast("long"))
         keep.sortWithinPartitions("key").write.mode("append").partitionBy("seg").parquet(self.path)
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = lambda p: jvm.org.apache.hadoop.fs.Path(p)

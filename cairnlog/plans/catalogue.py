@@ -202,31 +202,43 @@ def q18_minmax_prune(spark, sf_dir):
     return probes.join(kept, "key", "left").select("key", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-@query(None)
+BLOOM = FLUSHED + """, sizes AS (SELECT seg, greatest(64, 10 * count(*)) AS bits FROM flushed GROUP BY seg),
+hashed AS (SELECT seg, bits, key, ('0x' || substr(md5(key), 1, 15))::BIGINT % bits AS a, ('0x' || substr(md5(key), 17, 15))::BIGINT % (bits - 1) + 1 AS b FROM flushed JOIN sizes USING (seg)),
+spots AS (SELECT DISTINCT seg, bits, (a + i * b) % bits AS p FROM hashed, range(7) r(i))"""
+
+
+@query(BLOOM + " SELECT seg, bits, p // 64 AS word, CAST(sum(CASE WHEN p % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << (p % 64) END) AS BIGINT) AS mask FROM spots GROUP BY seg, bits, p // 64")
 def q19_bloom_build(spark, sf_dir):
     return bloom.build(runs.flushed(kv_log(spark, sf_dir)))
 
 
-@query(FLUSHED + " SELECT count(*) AS present, CAST(0 AS BIGINT) AS false_negatives FROM flushed")
+@query(BLOOM + """, asked AS (SELECT seg, bits, key, ('0x' || substr(md5(key), 1, 15))::BIGINT % bits AS a, ('0x' || substr(md5(key), 17, 15))::BIGINT % (bits - 1) + 1 AS b
+  FROM (SELECT seg, key FROM flushed UNION SELECT seg + 1, key FROM flushed) JOIN sizes USING (seg)),
+tried AS (SELECT t.seg, t.key, count(s.p) = 7 AS maybe FROM (SELECT seg, key, (a + i * b) % bits AS p FROM asked, range(7) r(i)) t LEFT JOIN spots s ON s.seg = t.seg AND s.p = t.p GROUP BY t.seg, t.key)
+SELECT t.seg, count(f.key) AS present, count(*) FILTER (f.key IS NOT NULL AND NOT maybe) AS false_negatives, count(*) FILTER (f.key IS NULL AND maybe) AS false_positives
+FROM tried t LEFT JOIN flushed f ON f.seg = t.seg AND f.key = t.key GROUP BY t.seg""")
 def q20_bloom_probe(spark, sf_dir):
+    """Every run's filter is asked for its own keys and for those of the run before."""
     entries = runs.flushed(kv_log(spark, sf_dir)).select("seg", "key")
-    got = bloom.probe(bloom.build(entries), entries)
-    return got.agg(F.count(F.lit(1)).alias("present"), F.count_if(~F.col("maybe")).alias("false_negatives"))
+    asked = entries.union(entries.select(F.col("seg") + 1, "key")).distinct()
+    got = bloom.probe(bloom.packed(bloom.build(entries)), asked).join(entries.withColumn("has", F.lit(True)), ["seg", "key"], "left")
+    return got.groupBy("seg").agg(
+        F.count("has").alias("present"), F.count_if(F.col("has") & ~F.col("maybe")).alias("false_negatives"),
+        F.count_if(F.col("has").isNull() & F.col("maybe")).alias("false_positives"),
+    )
 
 
 @query(BLOCKS + " SELECT seg, block, min(key) AS start_key, count(*) AS n, CAST(sum(n) AS BIGINT) AS bytes FROM blocks GROUP BY seg, block")
 def q21_block_cut(spark, sf_dir):
-    return runs.sparse_index(runs.blocks(runs.flushed(kv_log(spark, sf_dir)), BLOCK_LIMIT))
+    return runs.sparse_index(runs.block_cuts(runs.flushed(kv_log(spark, sf_dir)), BLOCK_LIMIT))
 
 
 @query(BLOCKS + """, starts AS (SELECT seg, block, min(key) AS start_key FROM blocks GROUP BY seg, block),
-probes AS (SELECT DISTINCT seg, key FROM kv_log, (VALUES ('0'), ('42'), ('99'), ('100'), ('nope')) p(probe), LATERAL (SELECT p.probe AS k2) WHERE false),
 asked AS (SELECT s.seg, p.key FROM (SELECT DISTINCT seg FROM kv_log) s CROSS JOIN (VALUES ('0'), ('42'), ('99'), ('100'), ('nope')) p(key))
-SELECT a.seg, a.key, max(s.block) AS block, max(s.start_key) AS start_key FROM asked a LEFT JOIN starts s ON s.seg = a.seg AND s.start_key <= a.key GROUP BY a.seg, a.key""".replace(
-    "probes AS (SELECT DISTINCT seg, key FROM kv_log, (VALUES ('0'), ('42'), ('99'), ('100'), ('nope')) p(probe), LATERAL (SELECT p.probe AS k2) WHERE false),\n", ""))
+SELECT a.seg, a.key, max(s.block) AS block, max(s.start_key) AS start_key FROM asked a LEFT JOIN starts s ON s.seg = a.seg AND s.start_key <= a.key GROUP BY a.seg, a.key""")
 def q22_sparse_lookup(spark, sf_dir):
     log = kv_log(spark, sf_dir)
-    index = runs.sparse_index(runs.blocks(runs.flushed(log), BLOCK_LIMIT))
+    index = runs.sparse_index(runs.block_cuts(runs.flushed(log), BLOCK_LIMIT))
     probes = log.select("seg").distinct().withColumn("key", F.explode(F.array(*map(F.lit, RUN_PROBES))))
     return runs.floor_block(index, probes)
 
@@ -273,12 +285,10 @@ def q26_wal_sizes(spark, sf_dir):
 @query(LATEST + " SELECT key, seq AS tstamp, deleted, CASE WHEN deleted THEN NULL ELSE value END AS value FROM latest")
 def q27_wal_replay(spark, sf_dir):
     """The log is encoded to bytes, decoded and checked, and the newest version of each key is kept."""
-    # a generator's output is computed once for each row; as a plain column the optimizer would copy it into every use
-    record = binary.wal_record(F.col("deleted"), F.col("seq"), F.col("key"), F.col("value"))
-    records = kv_log(spark, sf_dir).select(F.explode(F.array(record)).alias("r"))
-    read = records.select(F.octet_length("r").alias("n"), F.inline(F.array(binary.wal_decoded(F.col("r")))))
+    records = kv_log(spark, sf_dir).select(binary.wal_record(F.col("deleted"), F.col("seq"), F.col("key"), F.col("value")).alias("r"))
+    read = binary.wal_decoded(records, "r")
     rest = F.col("n") - F.when(F.col("tag") == 4, 29).otherwise(21)
-    why = verify.wal_reason(F.col("tag"), F.col("key_size"), F.col("value_size"), rest, F.crc32("body") == F.col("crc"))
+    why = verify.wal_reason(F.col("tag"), F.col("key_size"), F.col("value_size"), rest, F.col("crc_ok"))
     good = read.where(why.isNull()).select(F.col("key").cast("string").alias("key"), "tstamp", (F.col("tag") == 2).alias("deleted"), F.col("value").cast("string").alias("value"))
     return newest(good, ["key"], ["tstamp"])
 
@@ -333,7 +343,12 @@ def q33_dead_space(spark, sf_dir):
     return compact.dead_space(kv_log(spark, sf_dir))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
+@query(LATEST + """, newest AS (SELECT max(seg) AS seg FROM kv_log),
+told AS (SELECT key, seq, strlen(value) AS n, false AS deleted FROM live WHERE seg < (SELECT seg FROM newest)),
+seen AS (SELECT * FROM told UNION ALL SELECT key, seq, strlen(value), deleted FROM kv_log WHERE seg = (SELECT seg FROM newest)),
+found AS (SELECT key, seq, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM seen) WHERE rn = 1 AND NOT deleted),
+whole AS (SELECT key, seq, strlen(value) AS n FROM live)
+SELECT count(*) FILTER (f.key IS NULL) AS missing, count(*) FILTER (w.key IS NULL) AS extra FROM whole w FULL JOIN found f ON w.key = f.key AND w.seq = f.seq AND w.n = f.n""")
 def q34_recovery_equivalence(spark, sf_dir):
     return compact.recovery_differences(kv_log(spark, sf_dir))
 

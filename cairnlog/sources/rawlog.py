@@ -3,11 +3,15 @@
     spark.dataSource.register(RawLogSource)
     spark.read.format("rawlog").option("path", folder).option("kind", "data").load()
 
-A file is one partition, read record by record in bounded buffers. `mode` says what a bad record does:
-`truncate` ends its file and keeps what came before, `failfast` raises DataCorrupted, and `report`
-gives it as a row with its reason. Files are ordered by the number in their name, other names first.
-The folder must be visible to the executors as a path; files in a store that only Spark reads come in
-through spark.read.format("binaryFile") and `decode`.
+Kinds are `data`, `hint` and `wal`; `keys` reads every file's hints where it has any, else its data, without
+values: what opening a folder needs. A file is one partition, read record by record in bounded buffers.
+`mode` says what a bad record does: `truncate` ends its file and keeps what came before, `failfast`
+raises DataCorrupted, and `report` gives it as a row with its reason; a key that isn't UTF-8 is a bad record
+of a data or hint file. Files are ordered by the number in their name, other names first. The folder must be
+visible to the executors as a path; `read_files` reads one in any store that Spark reads.
+
+Writing appends: every file gets a number after all that the folder has, and none is ever replaced. Data files
+get their hint files beside them if the option `hints` is true.
 """
 
 from __future__ import annotations
@@ -15,17 +19,28 @@ from __future__ import annotations
 import io
 import os
 import struct
+import time
+import uuid
 import zlib
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from cairnlog.model import FILE_LIMIT, KEY_MAX, TAG_DELETE, TAG_PUT, VALUE_MAX, DataCorrupted
+from cairnlog.model import FILE_LIMIT, KEY_MAX, TAG_DELETE, TAG_PUT, VALUE_MAX, DataCorrupted, SizeLimit
 
 SCHEMA = "file string, seg long, pos long, seq long, tstamp long, key binary, value binary, deleted boolean, value_pos long, value_sz long, reason string"
 
 
+KINDS = ("data", "hint", "wal")
+
+
+def new_timestamp() -> int:
+    """Nanoseconds since 1970."""
+    return time.time_ns()
+
+
 def file_number(name: str) -> int | None:
     stem = os.path.basename(name).rsplit(".", 1)[0]
     return int(stem) if stem.isdecimal() and stem.isascii() else None
@@ -58,6 +73,14 @@ def _exactly(f, n: int, left: int) -> bytes | None:
     return f.read(n) if n <= left else None
 
 
+def _utf8(key: bytes) -> bool:
+    try:
+        key.decode()
+        return True
+    except UnicodeDecodeError:
+        return False
+
+
 def decode(f, size: int, kind: str) -> Iterator[tuple]:
     """(pos, tstamp, key, value, deleted, value_pos, value_sz, reason) of each record; after a reason there is no more."""
     pos = 0
@@ -77,6 +100,9 @@ def decode(f, size: int, kind: str) -> Iterator[tuple]:
             if zlib.crc32(rest, zlib.crc32(head[4:])) != crc:
                 yield bad("CrcMismatch")
                 return
+            if not _utf8(rest[:k]):
+                yield bad("InvalidUtf8")
+                return
             yield pos, tstamp, rest[:k], rest[k:], v == 0, pos + 28 + k, v, None
             pos += 28 + k + v
         elif kind == "hint":
@@ -87,6 +113,9 @@ def decode(f, size: int, kind: str) -> Iterator[tuple]:
                 yield bad("LengthMismatch" if head is None else "MetaDataSizeExceedsFileSize")
                 return
             tstamp, v, at = struct.unpack("<QQQ", rest[k:])
+            if not _utf8(rest[:k]):
+                yield bad("InvalidUtf8")
+                return
             yield pos, tstamp, rest[:k], None, False, at, v, None
             pos += 32 + k
         elif kind == "wal":
@@ -121,77 +150,151 @@ def decode(f, size: int, kind: str) -> Iterator[tuple]:
             raise ValueError(f"no such kind of file: {kind}")
 
 
+def names_in(path: str, kind: str) -> list[str]:
+    """The files of a kind in order; of kind `keys`, for each stem its hint file if there is one, else its data file."""
+    names = [n for n in os.listdir(path) if not n.startswith(".")]
+    if kind != "keys":
+        return in_order([n for n in names if n.endswith(f".{kind}")])
+    hints = {n.rsplit(".", 1)[0] for n in names if n.endswith(".hint")}
+    stems = {n.rsplit(".", 1)[0] for n in names if n.endswith(".data")}
+    return in_order([f"{s}.hint" if s in hints else f"{s}.data" for s in stems])
+
+
+def publish(folder: str, made: list[list[str]]) -> list[str]:
+    """Give groups of finished hidden files their names: a new number for each group, and none is replaced.
+
+    A group is files `.<anything>.<kind>` of one stem. Linking fails where a name is taken, by another writer too; the next number is tried then.
+    """
+    numbers = [n for x in os.listdir(folder) if not x.startswith(".") and (n := file_number(x)) is not None]
+    number, out = max(numbers, default=-1) + 1, []
+    for group in made:
+        while True:
+            names, done = [os.path.join(folder, f"{number}.{g.rsplit('.', 1)[1]}") for g in group], []
+            number += 1
+            try:
+                for old, new in zip(group, names):
+                    os.link(old, new)
+                    done.append(new)
+                break
+            except FileExistsError:
+                for n in done:
+                    os.remove(n)
+        for old in group:
+            os.remove(old)
+        out += names
+    return out
+
+
 class _File(InputPartition):
     def __init__(self, name: str, seg: int):
         self.name, self.seg = name, seg
 
 
+def rows_of(f, name: str, size: int, seg: int, kind: str, mode: str, values: bool = True) -> Iterator[tuple]:
+    """The rows of one file by SCHEMA."""
+    for pos, tstamp, key, value, deleted, at, v, why in decode(f, size, kind):
+        if why and mode == "failfast":
+            raise DataCorrupted(name, pos, why)
+        if why and mode == "truncate":
+            return
+        # the order of versions is the file's place, then the offset in it
+        yield name, seg, pos, (seg << 40) | pos, tstamp, key, value if values else None, deleted, at, v, why
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind, self.mode = options["path"], options.get("kind", "data"), options.get("mode", "truncate")
+        if self.kind not in (*KINDS, "keys"):
+            raise ValueError(f"no such kind of file: {self.kind}")
 
     def partitions(self):
-        names = [n for n in os.listdir(self.path) if n.endswith(f".{self.kind}")]
-        return [_File(os.path.join(self.path, n), i) for i, n in enumerate(in_order(names))]
+        return [_File(os.path.join(self.path, n), i) for i, n in enumerate(names_in(self.path, self.kind))]
 
     def read(self, partition: _File):
-        size = os.path.getsize(partition.name)
-        with open(partition.name, "rb") as f:
-            for pos, tstamp, key, value, deleted, at, v, why in decode(io.BufferedReader(f, 1 << 20) if not hasattr(f, "peek") else f, size, self.kind):
-                if why and self.mode == "failfast":
-                    raise DataCorrupted(partition.name, pos, why)
-                if why and self.mode == "truncate":
-                    return
-                # the order of versions is the file's place, then the offset in it
-                yield partition.name, partition.seg, pos, (partition.seg << 40) | pos, tstamp, key, value, deleted, at, v, why
+        kind = self.kind if self.kind != "keys" else partition.name.rsplit(".", 1)[1]
+        with open(partition.name, "rb", buffering=1 << 20) as f:
+            yield from rows_of(f, partition.name, os.path.getsize(partition.name), partition.seg, kind, self.mode, self.kind != "keys")
+
+
+def read_files(spark: SparkSession, path: str, kind: str = "data", mode: str = "truncate") -> DataFrame:
+    """The rows of all files of a kind in a folder of any store that Spark reads; a file at a time is held as a whole."""
+    if kind not in KINDS:
+        raise ValueError(f"no such kind of file: {kind}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{kind}").load(path)
+    place = {n: i for i, n in enumerate(in_order([r[0] for r in files.select("path").collect()]))}  # a row a file
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                found = list(rows_of(io.BytesIO(content), name, len(content), place[name], kind, mode))
+                yield pd.DataFrame(found, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"tstamp": "Int64", "value_pos": "Int64", "value_sz": "Int64"})
+
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 class _Commit(WriterCommitMessage):
-    def __init__(self, names: list[str]):
-        self.names = names
+    def __init__(self, groups: list[list[str]]):
+        self.groups = groups
 
 
 class _Writer(DataSourceWriter):
-    """Appends rows (key, value, deleted, tstamp) as files of at most `limit` bytes, except for one larger record."""
+    """Appends rows (key, value, deleted, tstamp), or hints (key, tstamp, value_sz, value_pos), as files of at most `limit`
+    bytes, except for one larger record."""
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.kind, self.limit = options["path"], options.get("kind", "data"), int(options.get("limit", FILE_LIMIT))
-        self.at = {n: schema.fieldNames().index(n) for n in ("key", "value", "deleted", "tstamp")}
+        if self.kind not in KINDS:
+            raise ValueError(f"no such kind of file: {self.kind}")
+        self.hints = self.kind == "data" and options.get("hints", "false").lower() == "true"
+        needed = ("key", "tstamp", "value_sz", "value_pos") if self.kind == "hint" else ("key", "tstamp", "value", "deleted")
+        self.at = [schema.fieldNames().index(n) for n in needed]
+
+    def _record(self, row) -> tuple[bytes, bytes, int, int]:
+        """The record, its key, time and size of value."""
+        key, tstamp, a, b = (row[i] for i in self.at)
+        key = bytes(key)
+        if self.kind == "hint":
+            return encode_hint(key, tstamp, a, b), key, tstamp, a
+        value = None if b else bytes(a or b"")
+        if self.kind == "wal":
+            if len(key) > KEY_MAX or len(value or b"") > VALUE_MAX:
+                raise SizeLimit(f"key of {len(key)} or value of {len(value or b'')} bytes is above the limit")
+            return encode_wal(tstamp, key, value), key, tstamp, len(value or b"")
+        return encode_data(tstamp, key, value or b""), key, tstamp, len(value or b"")
 
     def write(self, rows):
-        from pyspark import TaskContext
-
         os.makedirs(self.path, exist_ok=True)
-        ctx = TaskContext.get()
-        stem, names, f, size = (ctx.partitionId() if ctx else 0), [], None, 0
+        groups, files, size = [], [], 0
+
+        def end() -> None:
+            for f in files:
+                f.flush()
+                os.fsync(f.fileno())
+                f.close()
+
         for row in rows:
-            key, value, deleted, tstamp = (row[self.at[n]] for n in ("key", "value", "deleted", "tstamp"))
-            value = None if deleted else bytes(value or b"")
-            out = encode_wal(tstamp, bytes(key), value) if self.kind == "wal" else encode_data(tstamp, bytes(key), value or b"")
-            if f is None or size and size + len(out) > self.limit:
-                if f:
-                    f.close()
-                names.append(os.path.join(self.path, f".{(stem << 20) + len(names)}.{self.kind}.{os.getpid()}"))
-                f, size = open(names[-1], "wb"), 0  # noqa: SIM115
-            f.write(out)
+            out, key, tstamp, n = self._record(row)
+            if not files or size and size + len(out) > self.limit:
+                end()
+                stem = os.path.join(self.path, f".{uuid.uuid4().hex}")
+                groups.append([f"{stem}.{self.kind}", *([f"{stem}.hint"] if self.hints else [])])
+                files, size = [open(g, "wb") for g in groups[-1]], 0  # noqa: SIM115
+            if self.hints:
+                files[1].write(encode_hint(key, tstamp, n, size + 28 + len(key)))
+            files[0].write(out)
             size += len(out)
-        if f:
-            f.flush()
-            os.fsync(f.fileno())
-            f.close()
-        return _Commit(names)
+        end()
+        return _Commit(groups)
 
     def commit(self, messages):
-        for m in messages:
-            for n in m.names if m else ():
-                folder, name = os.path.split(n)
-                os.replace(n, os.path.join(folder, name[1:].rsplit(".", 1)[0]))
+        publish(self.path, [g for m in messages if m for g in m.groups])
 
     def abort(self, messages):
-        for m in messages:
-            for n in m.names if m else ():
-                if os.path.exists(n):
-                    os.remove(n)
+        for n in [n for m in messages if m for g in m.groups for n in g]:
+            if os.path.exists(n):
+                os.remove(n)
 
 
 class RawLogSource(DataSource):
@@ -206,4 +309,6 @@ class RawLogSource(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema, overwrite):
+        if overwrite:
+            raise ValueError("files are only ever appended")
         return _Writer(dict(self.options), schema)

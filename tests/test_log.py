@@ -30,46 +30,57 @@ def pairs(df):
 
 def test_get_after_put(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    store.put("hello", "world")
+    store.put("birch", "white")
     store.sync()
-    assert store.get("hello") == "world"
+    assert store.get("birch") == "white"
 
 
 def test_delete_after_put(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    store.put("hello", "world")
-    assert store.get("hello") == "world"  # before any commit
-    store.delete("hello")
-    assert store.get("hello") is None
+    store.put("birch", "white")
+    assert store.get("birch") == "white"  # before any commit
+    store.delete("birch")
+    assert store.get("birch") is None
     with pytest.raises(MissingKey):
-        store.get("hello", strict=True)
+        store.get("birch", strict=True)
     with pytest.raises(MissingKey):
-        store.delete("hello", strict=True)
+        store.delete("birch", strict=True)
 
 
 def test_list_fold_merge_reopen(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    for k in ("hello", "space", "thekey", "otherkey"):
-        store.put(k, "world")
+    for k in ("ash", "oak", "yew", "elm"):
+        store.put(k, "tree")
     store.sync()
-    assert sorted(store.list_keys()) == ["hello", "otherkey", "space", "thekey"]
-    assert store.fold(lambda k, v, acc: acc + [k], []) == ["hello", "otherkey", "space", "thekey"]
-    store.delete("thekey")
-    store.delete("otherkey")
+    assert sorted(store.list_keys()) == ["ash", "elm", "oak", "yew"]
+    assert store.fold(lambda k, v, acc: acc + [k], []) == ["ash", "elm", "oak", "yew"]
+    store.delete("yew")
+    store.delete("elm")
     store.sync()
     store.put("late", "")
     store.merge()
-    assert sorted(store.list_keys()) == ["hello", "late", "space"]
-    assert store.get("late") == "" and store.get("thekey") is None
+    assert sorted(store.list_keys()) == ["ash", "late", "oak"]
+    assert store.get("late") == "" and store.get("yew") is None
     # writes after a merge win over what it kept, also when opened again
-    store.put("hello", "again")
-    store.delete("space")
+    store.put("ash", "again")
+    store.delete("oak")
     store.close()
     again = Store(spark, str(tmp_path))
-    assert {k: again.get(k) for k in ("hello", "space", "late")} == {"hello": "again", "space": None, "late": ""}
-    again.put_all(spark.createDataFrame([("bulk", "1"), ("hello", "2")], "key string, value string"))
+    assert {k: again.get(k) for k in ("ash", "oak", "late")} == {"ash": "again", "oak": None, "late": ""}
+    again.put_all(spark.createDataFrame([("bulk", "1"), ("ash", "2")], "key string, value string"))
     again.merge()
-    assert pairs(resolve.live(again.log())) == {"bulk": "1", "hello": "2", "late": ""}
+    assert pairs(resolve.live(again.log())) == {"bulk": "1", "ash": "2", "late": ""}
+
+
+def test_two_stores_on_one_folder(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path), sync_every=0)
+    a.put("k", "of a")
+    b.put("k", "of b")  # committed at once
+    a.sync()
+    assert a.get("k") == b.get("k") == "of a"  # the later commit wins
+    assert {r.seg for r in a.log().collect()} == {0, 1}
+    b.put("k", "of b again")
+    assert a.get("k") == "of b again"
 
 
 def test_limits(spark):
@@ -130,7 +141,7 @@ def test_event_log_constants(spark):
     assert compact.directory(compact.positioned(log)).agg(F.sum("value_pos")).first()[0] == 253224
     merged = compact.merged(log).agg(F.count(F.lit(1)), F.sum(compact.record_bytes())).first()
     assert tuple(merged) == (60, 2351)
-    assert runs.sparse_index(runs.blocks(runs.flushed(log), 1024)).count() == 300
+    assert runs.sparse_index(runs.block_cuts(runs.flushed(log), 1024)).count() == 300
     assert runs.files(log, 1024).select("seg", "file").distinct().count() == 400
     space = compact.dead_space(log).agg(F.sum("bytes"), F.sum("live_bytes")).first()
     assert tuple(space) == (373681, 4703)
@@ -184,12 +195,12 @@ def test_damage(spark):
 
 def test_bloom(spark):
     keys = spark.range(5000).selectExpr("0L AS seg", "concat('key', id) AS key")
-    words = bloom.build(keys).cache()
+    words = bloom.packed(bloom.build(keys)).cache()
     assert bloom.probe(words, keys).where("NOT maybe").count() == 0
     others = spark.range(5000, 15000).selectExpr("0L AS seg", "concat('key', id) AS key")
     assert bloom.probe(words, others).where("maybe").count() < 0.02 * 10000
     few = spark.createDataFrame([(1, "only"), (2, "\x80")], "seg long, key string")
-    assert bloom.probe(bloom.build(few), few).where("maybe").count() == 2
+    assert bloom.probe(bloom.packed(bloom.build(few)), few).where("maybe").count() == 2
 
 
 def test_greedy_cuts(spark):
@@ -210,6 +221,7 @@ def test_greedy_cuts(spark):
                 block, filled = block + 1, 0
     assert {r.seq: (r.file, r.offset) for r in runs.files(log, 200).collect()} == want_files
     assert {r.seq: r.block for r in runs.blocks(log, 200).collect()} == want_blocks
+    assert runs.files(log.limit(0), 200).count() == 0
 
 
 def test_running_total(spark):
@@ -224,6 +236,41 @@ def test_running_total(spark):
             total += i % 7
 
 
+def test_running_total_keeps_rows_without_an_order(spark):
+    rows = spark.createDataFrame([(None, 5), (None, 6), (3, 1), (None, 7)], "seq long, n int")
+    got = running_total(rows, "seq", F.col("n"), "b").collect()
+    assert len(got) == 4 and [r.b for r in got if r.seq == 3] == [18]
+
+
+def test_candidates_of_many_runs(spark):
+    rnd = random.Random(4)
+    made = [(i, *sorted((f"{rnd.randrange(10**6):06}", f"{rnd.randrange(10**6):06}"))) for i in range(200)]
+    probes = [f"{rnd.randrange(10**6):06}" for _ in range(150)] + ["", "zzz"]
+    found = runs.candidates(spark.createDataFrame(made, "seg long, min_key string, max_key string"), spark.createDataFrame([(p,) for p in probes * 2], "key string"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(p, i) for p in probes for i, lo, hi in made if lo <= p <= hi}
+    assert runs.candidates(spark.createDataFrame(made, "seg long, min_key string, max_key string"), spark.createDataFrame([], "key string")).count() == 0
+
+
+def test_wal_records_decoded(spark):
+    from cairnlog.sources.rawlog import encode_wal
+
+    whole = [encode_wal(7, b"key", b"value"), encode_wal(8, b"k", None), encode_wal(9, b"", b"")]
+    cases = [*whole, whole[0][:-1] + b"x", whole[0][:20], b"", None, b"\x04" + b"\xff" * 40]
+    df = spark.createDataFrame([(None if c is None else bytearray(c),) for c in cases], "r binary").coalesce(1)
+    got = binary.wal_decoded(df, "r").collect()
+    assert [(r.tag, r.tstamp, bytes(r.key), r.value and bytes(r.value), r.crc_ok) for r in got[:3]] == [(4, 7, b"key", b"value", True), (2, 8, b"k", None, True), (4, 9, b"", b"", True)]
+    assert not any(r.crc_ok for r in got[3:]) and got[7].key_size == got[7].value_size == 2**63 - 1
+    assert [r.n for r in got[3:7]] == [len(whole[0]), 20, 0, 0] and got[4].value_size == 5 % 2**24
+
+
+def test_merge_of_a_damaged_log_fails(spark):
+    log = log_of(spark, [("a", "1"), ("b", "2"), ("c", "3")], per_seg=2)
+    assert compact.merged(log, F.lit(True)).count() == 2
+    with pytest.raises(Exception, match="is corrupt"):
+        compact.merged(log, F.col("seq") != 1).collect()
+
+
 def test_key_order_is_by_bytes(spark):
     log = log_of(spark, [("\x80", "1"), ("a", "1"), ("a\x00", "1"), ("\x7f", "1"), ("10", "1"), ("9", "1")], 10)
     row = runs.manifest(log).first()

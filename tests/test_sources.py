@@ -57,6 +57,124 @@ def test_write_and_read_back(spark, tmp_path):
         assert max(sizes) <= 4096 and all(not n.startswith(".") for n in os.listdir(out))
 
 
+@pytest.mark.parametrize("kind", ["data", "hint", "wal"])
+def test_appends_replace_nothing(spark, tmp_path, kind):
+    spark.dataSource.register(rawlog.RawLogSource)
+    for i in range(3):
+        made = spark.range(4, numPartitions=2).selectExpr(
+            f"cast(concat('k{i}-', id) AS binary) AS key", "cast('value' AS binary) AS value", "false AS deleted", f"{i}L AS tstamp", "5L AS value_sz", "id * 9 AS value_pos"
+        )
+        made.write.format("rawlog").mode("append").option("path", str(tmp_path)).option("kind", kind).save()
+    back = rows(spark, tmp_path, kind, "failfast").collect()
+    assert {bytes(r.key) for r in back} == {f"k{i}-{j}".encode() for i in range(3) for j in range(4)} and len(back) == 12
+    assert [r.tstamp for r in sorted(back, key=lambda r: r.seq)] == sorted(r.tstamp for r in back)  # later files come later
+    if kind == "hint":
+        assert {(r.value_sz, r.value_pos) for r in back} == {(5, 9 * j) for j in range(4)}
+    if kind != "hint":
+        some = rawlog.read_files(spark, str(tmp_path), kind)
+        assert sorted(map(str, some.select(*back[0].__fields__[2:]).collect())) == sorted(str(r) for r in spark.createDataFrame(back, some.schema).select(*back[0].__fields__[2:]).collect())
+    for bad in ({"kind": "other"}, {}):
+        with pytest.raises(Exception, match="no such kind|only ever appended"):
+            made.write.format("rawlog").mode("append" if bad else "overwrite").options(path=str(tmp_path), **bad).save()
+    with pytest.raises(Exception, match="no such kind"):
+        rows(spark, tmp_path, "other").collect()
+
+
+def folder_rows(spark, path):
+    from cairnlog.sources import folder
+
+    return {bytes(r.key): bytes(r.value) for r in folder.values_at(folder.opened(spark, str(path))).collect()}
+
+
+def write_data(spark, path, ops, tstamp, hints=False):
+    """One data file of puts, and of deletes for None."""
+    made = spark.createDataFrame([(k.encode(), v and v.encode(), v is None, tstamp + i) for i, (k, v) in enumerate(ops)], "key binary, value binary, deleted boolean, tstamp long")
+    made.coalesce(1).write.format("rawlog").mode("append").options(path=str(path), hints=str(hints).lower()).save()
+
+
+def test_folder_is_opened_and_merged(spark, tmp_path):
+    from cairnlog.sources import folder
+
+    spark.dataSource.register(rawlog.RawLogSource)
+    write_data(spark, tmp_path, [("ash", "1"), ("elm", "2"), ("oak", "3")], 10, hints=True)
+    write_data(spark, tmp_path, [("ash", "4"), ("elm", None)], 20)
+    write_data(spark, tmp_path, [("yew", "5"), ("oak", None)], 5)  # an earlier time in a later file still wins
+    want = {b"ash": b"4", b"yew": b"5"}
+    assert folder_rows(spark, tmp_path) == want
+    # hints count where a stem has them: what they don't say isn't there
+    (tmp_path / "1.hint").write_bytes(rawlog.encode_hint(b"ash", 20, 1, 31))
+    assert folder_rows(spark, tmp_path) == {**want, b"elm": b"2"}
+    os.remove(tmp_path / "1.hint")
+    folder.merge(spark, str(tmp_path))
+    assert folder_rows(spark, tmp_path) == want
+    names = sorted(n for n in os.listdir(tmp_path) if not n.startswith("."))
+    assert names == ["1.data", "1.hint", "2.data"] and (tmp_path / "1.data").stat().st_size == 28 + 3 + 1
+    assert rows(spark, tmp_path, "hint").count() == 1
+    write_data(spark, tmp_path, [("elm", "6"), ("ash", None)], 1)  # after a merge, and opened again
+    assert folder_rows(spark, tmp_path) == {b"elm": b"6", b"yew": b"5"}
+    folder.merge(spark, str(tmp_path))
+    assert folder_rows(spark, tmp_path) == {b"elm": b"6", b"yew": b"5"}
+
+
+def test_merge_looks_at_checksums_and_recovers(spark, tmp_path):
+    import json
+
+    from cairnlog.sources import folder
+
+    write_data(spark, tmp_path, [("ash", "1")], 1)
+    write_data(spark, tmp_path, [("elm", "2")], 2)
+    whole = (tmp_path / "0.data").read_bytes()
+    (tmp_path / "0.data").write_bytes(whole[:-1] + b"X")
+    with pytest.raises(Exception, match="CrcMismatch"):
+        folder.merge(spark, str(tmp_path))
+    (tmp_path / "0.data").write_bytes(whole)
+    assert folder_rows(spark, tmp_path) == {b"ash": b"1", b"elm": b"2"}
+    # a merge that stopped after its journal was written is finished by whoever opens the folder
+    os.makedirs(tmp_path / ".merge", exist_ok=True)
+    (tmp_path / ".merge" / "0.data").write_bytes(rawlog.encode_data(1, b"ash", b"9"))
+    (tmp_path / ".journal").write_text(json.dumps({"old": ["0.data"], "new": [[".merge/0.data", "0.data"]]}))
+    assert folder_rows(spark, tmp_path) == {b"ash": b"9", b"elm": b"2"} and not (tmp_path / ".journal").exists()
+
+
+def test_keys_are_utf8(spark, tmp_path):
+    (tmp_path / "0.data").write_bytes(rawlog.encode_data(1, b"ok", b"1") + rawlog.encode_data(1, b"\xff\xfe", b"1") + rawlog.encode_data(1, b"more", b"1"))
+    got = rows(spark, tmp_path, mode="report").orderBy("pos").collect()
+    assert [r.reason for r in got] == [None, "InvalidUtf8"] and rows(spark, tmp_path).count() == 1
+    assert abs(rawlog.new_timestamp() / 1e9 - __import__("time").time()) < 5
+
+
+def test_wals_become_runs(spark, tmp_path):
+    from cairnlog.sources import folder, sstable
+
+    wal, out = tmp_path / "wal", tmp_path / "runs"
+    wal.mkdir()
+    (wal / "3.wal").write_bytes(b"".join([rawlog.encode_wal(1, b"b", b"1"), rawlog.encode_wal(2, b"a", b"2"), rawlog.encode_wal(3, b"b", None)]))
+    (wal / "12.wal").write_bytes(rawlog.encode_wal(4, b"a", b"3") + rawlog.encode_wal(5, b"c", b"4")[:-1])
+    assert folder.flush_wals(spark, str(wal), str(out)) == 2 and not list(wal.glob("*.wal"))
+    first, second = (sstable.Run(str(out / n)) for n in ("0.sst", "1.sst"))
+    assert list(first.entries()) == [(b"a", b"2", False, 2), (b"b", b"", True, 3)] and list(second.entries()) == [(b"a", b"3", False, 4)]
+    assert sstable.newest([first, second], b"a")[1] == b"3" and sstable.newest([first, second], b"b") is None
+    assert folder.flush_wals(spark, str(wal), str(out)) == 0
+
+
+def test_runs_are_written_by_spark(spark, tmp_path):
+    from cairnlog.sources import sstable
+
+    spark.dataSource.register(sstable.RunSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    made = spark.range(3000).selectExpr("cast(lpad(id, 6, '0') AS binary) AS key", "cast('v' AS binary) AS value", "id % 7 = 0 AS deleted", "id AS tstamp")
+    for _ in range(2):
+        made.repartitionByRange(3, "key").sortWithinPartitions("key").write.format("runs").mode("append").option("path", str(tmp_path)).save()
+    assert sorted(os.listdir(tmp_path)) == [f"{i}.sst" for i in range(6)]
+    back = spark.read.format("runs").option("path", str(tmp_path)).load()
+    assert back.count() == 6000 and back.select("key").distinct().count() == 3000 and back.where("deleted").count() == 2 * made.where("deleted").count()
+    with pytest.raises(Exception, match="exist"):
+        made.withColumn("run", __import__("pyspark").sql.functions.lit(0)).coalesce(1).sortWithinPartitions("key").write.format("runs").mode("append").option("path", str(tmp_path)).save()
+    with pytest.raises(Exception, match="order"):
+        made.coalesce(1).orderBy("tstamp", ascending=False).write.format("runs").mode("append").option("path", str(tmp_path)).save()
+    assert back.count() == 6000
+
+
 def test_decode_is_bounded():
     import io
 
