@@ -1,16 +1,21 @@
-"""Main text of web pages by consensus on each host's container path.
+"""Main text of web pages by consensus on each host's container paths.
 
 First pass: every page's containers are scored by the prose directly inside them, and the page
 votes for the path of its best one. A path is the chain of tags with their classes, digits
-generalised. Votes are summed by (host, path) with partial sums in the map stage, and the path with
-most votes wins the host. Second pass: the page's container on the winning path is extracted; a page
-without one falls back to its own best container. Pages are never shuffled as long as the table of
-winners is small enough to broadcast (BROADCAST_HOSTS rows, counted first); beyond that they are
-joined with it on the host, which adaptive execution splits where a host is hot.
+generalised. Votes are summed by (host, path) with partial sums in the map stage; the path with
+most votes wins the host, and so do others with a good share of them, as a host may have several
+templates. Second pass: a page whose own best container is on a winning path gives that path's
+containers, any other those of the first winning path that it has, and one without any its own best
+container. Pages are never shuffled as long as the table of winners is small enough to broadcast
+(BROADCAST_HOSTS rows, counted first); beyond that they are joined with it on the host, which
+adaptive execution splits where a host is hot.
 
 Inside the container, menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out, by tag, role and whole words of class and id. Blocks of text are
-trimmed, with white space as one space, and joined by a newline in page order.
+reader comments are left out, by tag, role and whole words of class and id. What looks like one of
+these but holds the article doesn't count as one: an element that only its tag or class marks is
+opened where the page has no article outside of such elements and one inside, or no other prose. No
+page that has prose gives an empty text. Blocks of text are trimmed, with white space as one space,
+and joined by a newline in page order. Work is in proportion to the page's length.
 
 Defined results: a null html is an empty one, an empty text comes out of a page without prose; a
 null or odd url has the empty host; repeated rows are extracted each; an unclosed or cut page is read
@@ -49,21 +54,27 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article blockquote body center div main section td".split())
 PROSE = frozenset("p pre li dd dt h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
-DROPPED = frozenset("nav aside footer form button input label dialog menu head noscript template".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
+#: Marks of an element: what may hold an article after all, reader comments, and what never does.
+PLAIN, SOFT, COMMENT, HARD = range(4)
+HARD_TAGS = frozenset("nav button input label dialog menu head noscript template".split())
+SOFT_TAGS = frozenset("aside footer form".split())
+HARD_ROLES = frozenset("navigation search dialog alertdialog menu menubar toolbar".split())
+SOFT_ROLES = frozenset("banner contentinfo complementary form alert note".split())
 #: Whole words of a class or id that mark what is not the article.
 MARKS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer foot masthead topbar header site-header "
     "sidebar sidebars aside rail widget widgets related recommended recommendations trending popular more-stories "
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner banners adsbygoogle "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay toast disclaimer paywall "
-    "newsletter subscribe subscription signup login signin form search searchbox share sharing social "
-    "comment comments commentlist discussion disqus respond responses reply replies reviews feedback skip hidden".split()
+    "newsletter subscribe subscription signup login signin form search searchbox share sharing social skip hidden".split()
 )
-#: What an article's own class may be marked with.
-ARTICLE_MARKS = frozenset("comment comments reply ad ads advert sponsored promo promoted related recommended teaser".split())
+COMMENTS = frozenset("comment comments commentlist discussion disqus respond responses reply replies reviews feedback".split())
+#: What an article's own class may be marked with, besides comments.
+ARTICLE_MARKS = frozenset("ad ads advert sponsored promo promoted related recommended teaser".split())
+#: What a class or id calls an article.
+CONTENT = frozenset("content article post entry story main text".split())
 #: A class or id that tells what a container has or lacks, not what it is.
-TELLS = re.compile(r"(?:no|has|with|without|is|not)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|true|false|layout|page)")
+TELLS = re.compile(r"(?:no|has|with|without|is|not)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off|true|false|layout|page)|.*[-_]free(?:[-_].*)?")
 WORD = re.compile(r"[a-z]+")
 LONG_PATH = 1000
 DIGITS = re.compile(r"\d+")
@@ -76,17 +87,19 @@ HELD_BY = {"p": {"div", "article", "section", "td", "blockquote", "li"}, "li": {
 
 
 class Element:
-    __slots__ = ("tag", "path", "up", "dropped", "parts", "score", "heading", "step")
+    __slots__ = ("tag", "path", "up", "mark", "above", "inside", "content", "parts", "score", "heading")
 
-    def __init__(self, tag: str, step: str, up: Element | None, dropped: bool):
-        self.tag, self.step, self.up, self.dropped = tag, step, up, dropped
+    def __init__(self, tag: str, step: str, up: Element | None, mark: int, content: bool):
+        self.tag, self.up, self.mark, self.content = tag, up, mark, content
+        self.above = max(mark, up.above) if up else mark  # the strongest mark from here upwards
+        self.inside = tag in ("article", "main") or up is not None and up.inside
         above = up.path if up else ""
         # a very long path goes on from its digest, so that deeply nested pages stay cheap
         above = above if len(above) < LONG_PATH else md5(above.encode()).hexdigest()
         self.path = f"{above}>{step}" if up else step
         self.parts: list = []  # strings, elements, and None for a block's edge
         self.score = 0.0
-        self.heading = False
+        self.heading = 0  # 1: an h2, 2: an h1
 
 
 def _words(value: str) -> set[str]:
@@ -100,38 +113,63 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def _is_dropped(tag: str, attrs: dict[str, str], up: Element) -> bool:
-    if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
-    if attrs.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
-        return True
+def _mark(tag: str, attrs: dict[str, str], words: set[str], inside: bool) -> int:
+    role = attrs.get("role", "").lower()
+    if tag in HARD_TAGS or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or role in HARD_ROLES:
+        return HARD
+    if "style" in attrs and re.search(r"display\s*:\s*none", attrs["style"], re.I):
+        return HARD
+    if tag in ("html", "body", "main"):
+        return PLAIN
+    if tag == "article":
+        return COMMENT if not COMMENTS.isdisjoint(words) else SOFT if not ARTICLE_MARKS.isdisjoint(words) else PLAIN
+    if not COMMENTS.isdisjoint(words):
+        return COMMENT
     if tag == "header":  # an article's own header has its title
-        return not _inside_article(up)
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and not ARTICLE_MARKS.isdisjoint(_words(attrs.get("class", "")))
-    marks = _words(attrs.get("class", "")) | _words(attrs.get("id", ""))
-    return not MARKS.isdisjoint(marks)
+        return PLAIN if inside else SOFT
+    return SOFT if tag in SOFT_TAGS or role in SOFT_ROLES or not MARKS.isdisjoint(words) else PLAIN
 
 
-def _inside_article(e: Element | None) -> bool:
-    while e is not None:
-        if e.tag in ("article", "main"):
-            return True
-        e = e.up
-    return False
+class _Open:
+    """The open elements of a page, and at which depths those of each tag are, so that no search walks up the tree."""
+
+    def __init__(self, root: Element):
+        self.stack, self.depths, self.blocks = [root], {}, []
+
+    def push(self, e: Element) -> None:
+        if e.tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.depths.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(self.stack) > max(1, depth):
+            self.depths[self.stack.pop().tag].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element of these tags; 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+
+#: What closes an element of each tag, by the tag that comes: the tags that it closes and those that keep it from going on up.
+CLOSES = {t: frozenset(c for c, by in CLOSED_BY.items() if t in by) for t in BLOCKS}
+KEEPS = {t: frozenset(HELD_BY.get(t, ())) | CONTAINERS for t in BLOCKS}
 
 
 def parse(page: str | None) -> tuple[Element, list[Element]]:
     """The page's tree below a root, and its containers in page order."""
-    root = Element("html", "html", None, False)
-    at, containers, done = root, [], 0
+    root = Element("html", "html", None, PLAIN, False)
+    up, containers, done = _Open(root), [], 0
     page = page or ""
 
     def text(s: str) -> None:
         if s and not s.isspace():
-            at.parts.append(html.unescape(s))
+            up.stack[-1].parts.append(html.unescape(s))
         elif s:
-            at.parts.append(" ")
+            up.stack[-1].parts.append(" ")
 
     for m in TOKEN.finditer(page):
         if m.start() > done:
@@ -144,51 +182,42 @@ def parse(page: str | None) -> tuple[Element, list[Element]]:
             continue
         tag = tag.lower()
         if m["close"]:
-            e = at
-            while e is not root and e.tag != tag:
-                if tag not in BLOCKS and e.tag in BLOCKS:
-                    e = root  # an inline end tag doesn't close a block
-                    break
-                e = e.up
-            if e is not root:
-                at = e.up
+            at = up.last((tag,))
+            if at and (tag in BLOCKS or not up.blocks or up.blocks[-1] < at):  # an inline end tag doesn't close a block
+                up.cut(at)
             elif tag in BLOCKS:
-                at.parts.append(None)
+                up.stack[-1].parts.append(None)
             continue
         if tag == "br":
-            at.parts.append(" ")
+            up.stack[-1].parts.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
-                at.parts.append(None)
+                up.stack[-1].parts.append(None)
             continue
         if tag == "html":
             continue
         attrs = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTR.findall(m["attrs"])} if m["attrs"] else {}
         if tag == "body":
-            while at is not root:
-                at = at.up
+            up.cut(1)
         elif tag in BLOCKS:
-            e = at
-            while e is not root:
-                if tag in CLOSED_BY.get(e.tag, ()):
-                    at = e.up
-                    break
-                if e.tag in HELD_BY.get(tag, ()) or e.tag in CONTAINERS:
-                    break
-                e = e.up
-        new = Element(tag, _step(tag, attrs), at, at.dropped or _is_dropped(tag, attrs, at))
+            at = up.last(CLOSES[tag])
+            if at and at >= up.last(KEEPS[tag]):
+                up.cut(at)
+        at = up.stack[-1]
+        words = _words(attrs.get("class", "")) | _words(attrs.get("id", "")) if attrs else set()
+        new = Element(tag, _step(tag, attrs), at, _mark(tag, attrs, words, at.inside), not CONTENT.isdisjoint(words))
         at.parts.append(new)
-        if tag in CONTAINERS and not new.dropped:
+        if (tag in CONTAINERS or new.mark) and new.above < HARD:
             containers.append(new)
         if not m["attrs"].endswith("/"):
-            at = new
+            up.push(new)
     if done < len(page):
         text(page[done:])
     return root, containers
 
 
-def _blocks(e: Element, out: list[str], line: list[str]) -> None:
+def _blocks(e: Element, mark: int, out: list[str], line: list[str]) -> None:
     """The texts of e's blocks; the last, which may go on, stays in `line`. A stack, as pages may nest deeply."""
     todo = [(e, iter(e.parts))]
     while todo:
@@ -198,7 +227,7 @@ def _blocks(e: Element, out: list[str], line: list[str]) -> None:
                 line.append(p)
             elif p is None:
                 _end(out, line)
-            elif not p.dropped:
+            elif p.mark < mark:
                 if p.tag in BLOCKS:
                     _end(out, line)
                 todo.append((p, iter(p.parts)))
@@ -216,27 +245,29 @@ def _end(out: list[str], line: list[str]) -> None:
     line.clear()
 
 
-def text_of(e: Element) -> str:
+def text_of(e: Element, mark: int = SOFT) -> str:
+    """The blocks of e, without elements in it that have this mark or a stronger one."""
     out: list[str] = []
     line: list[str] = []
-    _blocks(e, out, line)
+    _blocks(e, mark, out, line)
     _end(out, line)
     return "\n".join(out)
 
 
-def _measure(root: Element) -> None:
+def _measure(root: Element, mark: int) -> None:
     """Scores: each block of prose counts its characters outside of links for the nearest container."""
     todo = [(root, None, None, False)]
     while todo:
         e, holder, prose, linked = todo.pop()
-        if e.dropped:
+        if e.mark >= mark:
             continue
-        if e.tag in CONTAINERS:
+        if e.tag in CONTAINERS or e.mark:
             holder, prose = e, None
+            e.score, e.heading = 0.0, 0
         elif e.tag in PROSE:
             prose = e
             if e.tag in ("h1", "h2") and holder is not None:
-                holder.heading = True
+                holder.heading = max(holder.heading, 2 if e.tag == "h1" else 1)
         linked = linked or e.tag == "a"
         for p in e.parts:
             if isinstance(p, Element):
@@ -246,58 +277,82 @@ def _measure(root: Element) -> None:
                 holder.score += (-n if linked else n if prose is not None else 0.5 * n)
 
 
-def best(root: Element, containers: list[Element]) -> Element | None:
-    """The container with most prose of its own; wrapped articles count as one, with their title."""
-    _measure(root)
+def best(root: Element, containers: list[Element], mark: int = SOFT) -> Element | None:
+    """The container with most prose of its own; wrapped articles count as one, with their title.
+
+    Only containers that no mark of this strength is on or above count. Where marked ones count too, articles by their
+    tag come first, then what has a title or is called an article.
+    """
+    _measure(root, mark)
+    containers = [c for c in containers if c.above < mark]
     sums: dict[int, float] = {}
     for c in containers:  # prose two levels up counts in part, so sections of one article add up
         up, weight = c, 1.0
         for _ in range(3):
             if up is None or up.tag in ("html",):
                 break
-            if up.tag in CONTAINERS:
+            if up.tag in CONTAINERS or up.mark:
                 sums[id(up)] = sums.get(id(up), 0.0) + weight * max(0.0, c.score)
                 weight *= 0.6
+            if up.mark:  # what is marked is no part of what is around it
+                break
             up = up.up
-    found = max((c for c in containers if sums.get(id(c), 0) > 0), key=lambda c: sums[id(c)], default=None)
+    claim = lambda c: 0 if mark == SOFT else 2 if c.inside else int(c.heading == 2 or c.content)
+    found = max((c for c in containers if sums.get(id(c), 0) > 0), key=lambda c: (claim(c), sums[id(c)]), default=None)
     if found is None:
         return None
-    e, article = found, None
-    while e is not None and e.tag != "body":
-        if e.tag in ("article", "main") and (article is None or e.tag == "article"):
-            article = e
-        e = e.up
-    if article is not None:
+    if found.inside:
+        e, article = found, None
+        while e is not None and e.tag != "body":
+            if e.tag in ("article", "main") and (article is None or e.tag == "article"):
+                article = e
+            e = e.up
         return article
     if not found.heading and found.up is not None and found.up.tag in CONTAINERS - {"body"} and found.up.heading:
         return found.up
     return found
 
 
-def extract(page: str | None, path: str | None) -> str:
-    """The main text, from the containers on the host's path if the page has any, else from its own best one."""
+def main_part(root: Element, containers: list[Element]) -> Element | None:
+    """The page's own best container, if need be inside of what tags and classes mark as something else."""
+    shut = best(root, containers)
+    if shut is not None and shut.inside:
+        return shut
+    titled = any(c.heading == 2 for c in containers if c.above < SOFT)
+    opened = best(root, containers, COMMENT)
+    if opened is None or opened is shut or opened.above < SOFT:
+        return shut
+    if shut is None or opened.inside and (not titled or opened.heading == 2):
+        return opened
+    e = opened
+    while e is not None and e.above >= SOFT:  # what it is marked by is also called an article, and the rest has no title
+        if e.content and not titled:
+            return opened
+        e = e.up
+    return shut
+
+
+def extract(page: str | None, paths: list[str] | None) -> str:
+    """The main text, from the containers on a winning path of the host if the page has any, else from its own best one."""
     if not page:
         return ""
     root, containers = parse(page)
-    if path is not None:
-        on = [c for c in containers if c.path == path]
-        if len(on) > 1:
-            # an article in several containers of one kind: all that no other holds
-            inner = [c for c in on if not any(_holds(o, c) for o in on if o is not c)]
-            texts = [t for t in map(text_of, inner) if t]
-            if texts:
-                return "\n".join(texts)
-        elif on:
-            if found := text_of(on[0]):
-                return found
-    own = best(root, containers)
-    return text_of(own) if own is not None else text_of(root)
-
-
-def _holds(a: Element, b: Element) -> bool:
-    while b is not None and b is not a:
-        b = b.up
-    return b is a
+    own = main_part(root, containers)
+    paths = paths or []
+    for path in [own.path] if own is not None and own.path in paths else paths:
+        on = [c for c in containers if c.path == path and c.above < COMMENT]
+        on = [c for c in on if c.above < SOFT] or on
+        # an article in several containers of one kind; equal paths are equally deep, so none holds another
+        if found := "\n".join(t for t in map(text_of, on) if t):
+            return found
+    for e in (own, root):
+        if e is not None and (found := text_of(e)):
+            return found
+    for mark in (COMMENT, HARD, HARD + 1):
+        own = best(root, containers, mark)
+        if found := text_of(own or root, mark) or text_of(root, mark):
+            return found
+    return ""
 
 
 def host(url: Column) -> Column:
@@ -315,7 +370,7 @@ def votes(pages: DataFrame) -> DataFrame:
         for b in batches:
             count: Counter = Counter()
             for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                found = best(*parse(page)) if page else None
+                found = main_part(*parse(page)) if page else None
                 if found is not None:
                     count[h, found.path] += 1
             keys = list(count)
@@ -327,10 +382,19 @@ def votes(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
+#: Besides the first, paths with so many of the host's votes win too, which are ten at most.
+LEAST_SHARE, LEAST_VOTES = 0.1, 2
+
+
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path) with most votes; of equals, the longer path, then the first in order."""
-    best_of = F.max(F.struct("votes", F.length("path").alias("n"), "path"))
-    return votes(pages).groupBy("host").agg(best_of["path"].alias("path"))
+    """(host, paths): the path with most votes (of equals the longer one, then the first in order), then others with a good share."""
+    voted = written(votes(pages), "votes")
+    order = F.struct("votes", F.length("path").alias("n"), "path")
+    sums = voted.groupBy("host").agg(F.sum("votes").alias("all"), F.max(order).alias("top"))
+    enough = (F.col("votes") >= F.greatest(F.lit(LEAST_VOTES), F.lit(LEAST_SHARE) * F.col("all"))) | (F.col("path") == F.col("top.path"))
+    kept = voted.join(sums, "host").where(enough)
+    ranked = kept.groupBy("host").agg(F.sort_array(F.collect_list(order), False).alias("p"))
+    return ranked.select("host", F.col("p.path").alias("paths"))
 
 
 def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
@@ -340,11 +404,11 @@ def main_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataF
     few = paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("_at"))
     rows = rows.join(F.broadcast(paths) if few else paths, F.col("_at") == F.col("_host"), "left")
-    rows = rows.select("page_id", "url", "html", "path")
+    rows = rows.select("page_id", "url", "html", "paths")
 
     def run(batches):
         for b in batches:
-            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
+            texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("paths").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
