@@ -1,16 +1,19 @@
 """Nearest neighbours by inner product with a forest of random-projection trees.
 
 Vectors get one more component that makes their lengths equal, after which the largest inner
-product is the least distance. Trees are fitted on the driver on a bounded sample (SAMPLE distinct
-vectors): a node splits at the median of a projection onto the line through two random points of
-its own. Every distinct vector is then filed under a leaf of each tree.
-
-A query visits the leaves of all trees in the order of one shared priority queue: a leaf's priority
-is the least signed margin on the path to it. Visits end below -share * r, where r bounds the
-distance of the query's last wanted neighbour by its neighbours in the sample. A share of 1 would
-miss nothing, as a margin is a distance; the share in use is calibrated on sample queries so that
-TARGET of the true neighbours are met (a target of 1 keeps the share at 1), and so adapts to clustered and to shapeless data, and each
-query to its own surroundings. The candidates of the visited leaves are ranked by exact products.
+product is the least distance. Trees are fitted on the driver on a bounded sample: a node splits at
+the median of a projection onto the line through two random points of its own. Sample and depth grow
+with the table, so that a leaf holds about as many vectors as there are leaves, up to LEAVES. Every
+distinct vector is then filed under a leaf of each tree.
+
+A query searches all trees through one priority queue: it pops the node with the best priority, the
+least signed margin on the path to it, follows its own side down to a leaf, which it visits, and pushes
+the other sides that it passes. It ends at a priority below -share * r, where r bounds the distance of
+the query's last wanted neighbour by its neighbours in the sample; nothing below that end is looked
+at. A share of 1 would miss nothing, as a margin is a distance; the share in use is calibrated on
+sample queries so that TARGET of the true neighbours are met (a target of 1 keeps the share at 1), and so
+adapts to clustered and to shapeless data, and each query to its own surroundings. The candidates of
+the visited leaves are ranked by exact products.
 
 Leaves meet their queries in cells of at most CELL_ROWS vectors and CELL_ROWS queries, so no task
 holds a whole leaf. Equal vectors are one; it carries its smallest ids, as ties go to smaller ids
@@ -24,6 +27,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -33,11 +37,11 @@ from pyspark.sql import functions as F
 
 from cairnlog.llm.common import written
 
-#: Distinct vectors that the trees are fitted on, at most; raise it with the table to keep leaves small.
-SAMPLE = 8192
-TREES, LEAF = 4, 64
+TREES = 4
+#: Leaves of a tree, at most, and vectors of the sample for each: the sample has LEAVES * LEAF distinct vectors at most, 8192 at least.
+LEAVES, LEAF, LEAST_SAMPLE = 4096, 16, 8192
 #: Share of true neighbours that the calibrated search meets on the sample.
-TARGET = 0.98
+TARGET = 0.95
 CALIBRATED_ON = 256
 CELL_ROWS = 4096
 
@@ -45,9 +49,9 @@ CELL_ROWS = 4096
 class Forest:
     """Perfect binary trees: normals[tree, node], bounds[tree, node]; node i has 2i+1 below the bound and 2i+2 above."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 0):
+    def __init__(self, x: np.ndarray, leaves: int, trees: int = TREES, seed: int = 0):
         r = np.random.default_rng(seed)
-        self.depth = max(0, math.ceil(math.log2(max(1, len(x) / leaf))))
+        self.depth = max(0, math.ceil(math.log2(max(1, min(leaves, len(x) / 2)))))
         nodes = 2**self.depth - 1
         self.normals = np.zeros((trees, nodes, x.shape[1]))
         self.bounds = np.zeros((trees, nodes))
@@ -83,25 +87,36 @@ class Forest:
             out[:, t] = at - (self.leaves - 1)
         return out
 
-    def priorities(self, q: np.ndarray) -> np.ndarray:
-        """[query, tree, leaf]: the least signed margin on the path, 0 at most for leaves off the query's side."""
-        out = np.empty((len(q), len(self.normals), self.leaves))
-        for t in range(len(self.normals)):
-            margin = q @ self.normals[t].T - self.bounds[t]
-            level = np.full((len(q), 1), np.inf)
-            for d in range(self.depth):
-                m = margin[:, 2**d - 1 : 2 ** (d + 1) - 1]
-                level = np.stack([np.minimum(level, -m), np.minimum(level, m)], 2).reshape(len(q), -1)
-            out[:, t] = level
-        return out
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        """[query, tree, node]: the signed margins, which a search reads where it passes; one product for a batch of queries."""
+        return np.einsum("tnd,qd->qtn", self.normals, q, optimize=True) - self.bounds
+
+    def popped(self, margin: np.ndarray, least: float):
+        """(priority, tree * leaves + leaf) of one query's leaves, best first, as long as the priority is `least` or more.
+
+        One queue serves all trees. A popped node is followed down the query's own side to a leaf; where that path
+        turns, the other side goes into the queue with the least signed margin on the path to it.
+        """
+        nodes, first = self.leaves - 1, [m.tolist() for m in margin]
+        queue = [(-math.inf, t, 0) for t in range(len(first))]
+        while queue:
+            key, t, at = heapq.heappop(queue)
+            m = first[t]
+            while at < nodes:
+                away = abs(m[at])
+                own = 2 * at + 1 + (m[at] >= 0)
+                if -max(key, away) >= least:
+                    heapq.heappush(queue, (max(key, away), t, 4 * at + 3 - own))
+                at = own
+            yield -key, t * self.leaves + at - nodes
 
 
 class Index:
     """A forest over lengthened vectors, the sample it was fitted on, and the calibrated share."""
 
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, longest: float, wanted: int, target: float = TARGET, seed: int = 0):
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, longest: float, wanted: int, leaves: int, target: float = TARGET, seed: int = 0):
         self.sample, self.ids, self.longest, self.wanted = sample, ids, longest, wanted
-        self.forest = Forest(self.lengthened(sample), seed=seed)
+        self.forest = Forest(self.lengthened(sample), leaves, seed=seed)
         self.leaf = self.forest.file(self.lengthened(sample))
         self.share = 1.0
         some = np.random.default_rng(seed + 1).permutation(len(sample))[:CALIBRATED_ON]
@@ -110,9 +125,13 @@ class Index:
             score = q @ sample.T
             score[np.arange(len(some)), some] = -np.inf
             near = np.argpartition(-score, wanted - 1, 1)[:, :wanted]
-            prio = self.forest.priorities(self.asked(q))
-            trees = np.arange(self.leaf.shape[1])
-            met = prio[np.arange(len(q))[:, None, None], trees[None, None, :], self.leaf[near]].max(2)
+            cell = self.leaf + self.forest.leaves * np.arange(self.leaf.shape[1])
+            met = np.empty(near.shape)
+            for i, margin in enumerate(self.forest.margins(self.asked(q))):
+                prio = np.empty(cell.shape[1] * self.forest.leaves)
+                for p, c in self.forest.popped(margin, -math.inf):
+                    prio[c] = p
+                met[i] = prio[cell[near[i]]].max(1)
             needed = np.maximum(0.0, -met) / self.bound(self._scores(q, ids[some]), q)[:, None]
             self.share = min(1.0, float(np.quantile(needed, target)) + 1e-9)
 
@@ -142,23 +161,23 @@ class Index:
         far = np.sqrt(np.maximum(1e-12, 2 * self.longest**2 - 2 * scaled))
         return np.where(np.isfinite(last), far, np.inf)
 
-    def visits(self, q: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[query, tree * leaves]: the leaves that a query visits, and each query's least product of use.
+    def visits(self, q: np.ndarray, ids: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        """The leaves (tree * leaves + leaf) that each query visits, and each query's least product of use.
 
         That product is taken from sample vectors in visited leaves, which the search will meet, so as
         many as wanted are always found. A query whose leaves have too few of them visits all.
         """
-        score = self._scores(q, ids)
-        far = self.bound(score, q)
-        prio = self.forest.priorities(self.asked(q))
+        score, trees = self._scores(q, ids), np.arange(self.leaf.shape[1])
+        far, cell = self.bound(score, q), self.leaf + self.forest.leaves * trees
         limit = np.where(np.isinf(far), -np.inf, -self.share * np.where(np.isinf(far), 1.0, far))
-        seen = prio >= limit[:, None, None]
-        met = np.zeros(score.shape, bool)
-        for t in range(self.leaf.shape[1]):
-            met |= seen[:, t, self.leaf[:, t]]
-        least = self._last(np.where(met, score, -np.inf))
-        seen[np.isinf(least)] = True
-        return seen.reshape(len(q), -1), least
+        out, least = [], np.empty(len(q))
+        for i, margin in enumerate(self.forest.margins(self.asked(q))):
+            found = [c for _, c in self.forest.popped(margin, limit[i])]
+            seen = np.zeros(len(trees) * self.forest.leaves, bool)
+            seen[found] = True
+            least[i] = self._last(np.where(seen[cell].any(1), score[i], -np.inf)[None, :])[0]
+            out.append(found if np.isfinite(least[i]) else list(range(len(seen))))
+        return out, least
 
 
 def _valid(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -177,7 +196,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
-def search(vectors: DataFrame, is_query: Column, wanted: int, id_col: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, wanted: int, id_col: str = "vec_id", vector: str = "embedding", leaves: int | None = None, target: float = TARGET) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the nearest found of every row where is_query (of the column `id`)."""
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -189,12 +208,15 @@ def search(vectors: DataFrame, is_query: Column, wanted: int, id_col: str = "vec
     one = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("v").alias("v"), F.bool_or("asks").alias("asks"))
     points = written(one.join(ids, ["k1", "k2"]), "points")
 
-    picked = points.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
-    if not picked.num_rows:
-        return none
     square = F.reduce("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    longest = math.sqrt(points.agg(F.max(square)).first()[0]) * (1 + 1e-12)
-    index = Index(_matrix(picked.column("v")), picked.column("rep").to_numpy(), longest, wanted, target)
+    most, many = points.agg(F.max(square), F.count(F.lit(1))).first()
+    if not many:
+        return none
+    longest = math.sqrt(most) * (1 + 1e-12)
+    leaves = leaves or min(LEAVES, math.ceil(math.sqrt(many)))  # as many vectors in a leaf as leaves
+    sample = max(LEAST_SAMPLE, LEAF * leaves)
+    picked = points.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toArrow()
+    index = Index(_matrix(picked.column("v")), picked.column("rep").to_numpy(), longest, wanted, leaves, target)
     kind = rows.schema["v"].dataType.simpleString()
 
     def filed(batches):
@@ -208,9 +230,7 @@ def search(vectors: DataFrame, is_query: Column, wanted: int, id_col: str = "vec
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 visits, least = index.visits(_matrix(part.column("v")), part.column("rep").to_numpy())
-                which, leaf = np.nonzero(visits)
-                ends = np.append(0, np.cumsum(visits.sum(1))).astype(np.int32)
-                cells = pa.ListArray.from_arrays(ends, leaf.astype(np.int32))
+                cells = pa.array(visits, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("v"), pa.array(least), cells], ["rep", "v", "least", "cells"])
 
     members = points.select("rep", "v", "ids").mapInArrow(filed, f"rep long, v {kind}, ids array<long>, cells array<int>")
