@@ -407,17 +407,19 @@ def places(fillings: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, nodes: int | None = NODES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    cut = written(pieces(docs, tokenizer_path, capacity, end), "pieces")
+    numbered = written(pieces(docs, tokenizer_path, capacity, end).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    cut = numbered.drop("_row")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = places(plan(counts, capacity, nodes))
     blocks = [max(BLOCKS, -(-counts.get(n, 0) // BLOCK_ROWS)) for n in range(capacity + 1)]
     own = F.get(F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>"), F.col("length").cast("int"))
-    by_block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32"), own).cast("int")
-    dealt = cut.withColumn("_block", by_block)
+    # a row's number tells equal rows apart, so that they too are dealt to many cells
+    by_block = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32", "_row"), own).cast("int")
+    dealt = numbered.withColumn("_block", by_block)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
     cells = cells.select("length", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece", "ids_crc32", "_row")) - 1
     ranked = dealt.withColumn("_rank", rank).join(cells, ["length", "_block"])
     ranked = ranked.select(
         *cut.columns, F.shiftleft("length", 48).bitwiseOR(F.col("_before") + F.col("_rank")).alias("_key")
