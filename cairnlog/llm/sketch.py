@@ -5,13 +5,15 @@ there are fewer). Sketches of parts merge into that of the whole; two sketches e
 texts' resemblance and containment, and one estimates the number of distinct shingles.
 
 `edited` compares each document with an edited text whose second half is the beginning of the
-next document by id. Rows are dealt to id ranges once; the first row of a range is also sent to
-the range before, where it follows the last row, so no task sees all rows and no join is needed.
+next document by id. Rows are ordered by id (of any type that has an order), then by a hash of the text,
+then by their place in the table, so no two are equal and rows of one id can be in several ranges. They are
+dealt to ranges once; the first row of a range is also sent to the range before, where it follows the
+last row, so no task sees all rows and no join is needed.
 
 Defined results: a null text is an empty one; a text without words has an empty sketch, and two
 empty sketches resemble each other fully, an empty and another not at all; rows with the same id
-are ordered by text; rows with a null id come first; an only document is its own next; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+are ordered by a hash of their text; rows with a null id come first; an only document is its own next; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairnlog.llm.common import small_batches
 from cairnlog.llm.simhash import shingle_hashes
@@ -78,37 +81,46 @@ def unpacked(s: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(s), ">u8").astype(np.uint64)
 
 
+#: Rows that the ranges' bounds are taken from, for each range; a bottom sample by a hash of the order.
+SAMPLED = 64
+
+
 def _ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, _p, _late): rows dealt to id ranges _p and sorted; _late marks the row after a range's last."""
+    """(doc_id, text, _p, _late): rows dealt to ranges _p of their order and sorted; _late marks the row after a range's last."""
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [i / n for i in range(1, n)]
-    cuts = docs.agg(F.percentile_approx("doc_id", at or [0.5], 20 * n + 1000)).first()[0] or []
-    cuts = sorted(set(cuts)) if n > 1 else []
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    order = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.select("doc_id", "text", order.alias("_o"))
+    some = rows.select("_o").orderBy(F.xxhash64("_o")).limit(SAMPLED * n)  # a bounded sample
+    ranked = some.select("_o", F.row_number().over(Window.orderBy("_o")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("m"))
+    bound = F.col("i") % F.greatest(F.lit(1), F.floor(F.col("m") / n))
+    cuts = [r[0] for r in ranked.where((bound == 0) & (F.col("i") > 1)).orderBy("_o").limit(n - 1).select("_o").collect()] if n > 1 else []
+    kind = rows.schema["_o"].dataType
+    literal = lambda r: F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields))
     wide = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("doc_id")))
+    below = lambda array: F.size(F.filter(array, lambda c: c <= F.col("_o")))
     if groups:
         # two short searches: among the groups' first cuts, then inside the group
-        g = below(F.array(*[F.lit(x[0]) for x in groups]))
-        inner = F.array(*[F.array(*map(F.lit, x)) for x in groups])
+        g = below(F.array(*[literal(x[0]) for x in groups]))
+        inner = F.array(*[F.array(*map(literal, x)) for x in groups])
         p = F.when(g == 0, F.lit(0)).otherwise((g - 1) * wide + below(F.get(inner, g - 1)))
     else:
         p = F.lit(0)
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("_p", F.coalesce(p, F.lit(0)).cast("int"))
-    first = rows.groupBy("_p").agg(F.min("doc_id").alias("m"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    first = sorted(first.collect())  # a row for each range
-    before = [(r[0], r[1] if not r[2] else None, first[i - 1][0]) for i, r in enumerate(first)]
-    before = spark.createDataFrame(before, f"_q int, _m {docs.schema['doc_id'].dataType.simpleString()}, _before int")
+    rows = rows.withColumn("_p", p.cast("int"))
+    first = rows.groupBy("_p").agg(F.min("_o").alias("m")).orderBy("_p").collect()  # a row for each range
+    before = [(r[0], r[1], first[i - 1][0]) for i, r in enumerate(first)]
+    before = spark.createDataFrame(before, T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("_m", kind), T.StructField("_before", T.IntegerType())]))
     here = F.struct(F.col("_p").alias("p"), F.lit(False).alias("late"))
     back = F.struct(F.col("_before").alias("p"), F.lit(True).alias("late"))
     return (
         rows.join(F.broadcast(before), F.col("_p") == F.col("_q"))
-        .withColumn("_to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("_m")), F.array(here, back)).otherwise(F.array(here))))
-        .select("doc_id", "text", F.col("_to.p").alias("_p"), F.col("_to.late").alias("_late"))
+        .withColumn("_to", F.explode(F.when(F.col("_o") == F.col("_m"), F.array(here, back)).otherwise(F.array(here))))
+        .select("doc_id", "text", "_o", F.col("_to.p").alias("_p"), F.col("_to.late").alias("_late"))
         .repartitionById(n, F.col("_p"))
-        .sortWithinPartitions("_p", "_late", "doc_id", "text")
+        .sortWithinPartitions("_p", "_late", "_o")
+        .drop("_o")
     )
 
 
@@ -140,15 +152,12 @@ def edited(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         "distinct_shingles", "kept_share",
     ]
-    id_type = pa.int64() if kind == "bigint" else None
 
     def run(batches):
         held, at = None, None  # the row that waits for its next, and its range
         for b in batches:
-            out = []
+            out, id_type = [], b.schema.field("doc_id").type
             for doc_id, text, p, late in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "_p", "_late"))):
-                if late and held is None:
-                    continue  # further rows with a first row's id: the range is finished
                 row = (doc_id, text, sketch(text, k, words))
                 if held is not None:
                     out.append(finish(held, row))
