@@ -7,7 +7,8 @@ shard is added, so the new shard takes its share of keys and no key moves betwee
 Within a shard rows get gapless slots without sorting a shard in one task: rows are dealt to
 (shard, block) cells by a hash of the key, ranked inside their cell, and shifted by the number
 of rows in the shard's earlier cells. The table of cell sizes has at most shards * blocks rows; the
-blocks grow with the table, and beyond the least number of them it is joined without a hint.
+blocks grow with the table, and beyond the least number of them it is joined without a hint. A cell that
+rows of one key make far larger than the mean is split by the rows themselves, written with numbers first.
 
 Defined results: a null key is a key of its own; a null text has no bytes (size 1, checksum of
 the empty text); repeated rows each get a slot; an empty table gives an empty result; columns
@@ -19,8 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnlog.llm.common import written
+
 #: Cells that the rows of one shard are dealt to for ranking, at least, and mean rows of a cell beyond which there are more.
 BLOCKS, BLOCK_ROWS = 512, 100_000
+#: How many times the mean rows of a cell make one to be split.
+HOT = 10
 
 
 def _number(text: Column, digits: int) -> Column:
@@ -46,16 +51,24 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def slots(rows: DataFrame, shard: str, key: Column, ties: list[str], blocks: int = BLOCKS) -> DataFrame:
     """`rows` with a column `slot`, gapless from 0 within each value of `shard`; rows of one key are told apart by `ties`."""
     text = F.coalesce(key.cast("string"), F.lit("null"))
-    dealt = rows.withColumn("_block", (_number(F.concat(text, F.lit("/slot")), 8) % blocks).cast("int"))
-    before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    cells = dealt.groupBy(shard, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    cells = cells.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_block").orderBy(key, *ties)) - 1
+    dealt = rows.withColumns({"_block": (_number(F.concat(text, F.lit("/slot")), 8) % blocks).cast("int"), "_part": F.lit(0).cast("long")})
+    cells = written(dealt.groupBy(shard, "_block", "_part").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    few = F.broadcast if blocks <= BLOCKS else (lambda t: t)  # at most shards * blocks rows
+    large = cells.where(F.col("_n") > HOT * BLOCK_ROWS)
+    if not large.isEmpty():
+        dealt = written(dealt.drop("_part").withColumn("_row", F.monotonically_increasing_id()), "slots")
+        parts = large.select(shard, "_block", F.ceil(F.col("_n") / F.lit(BLOCK_ROWS)).alias("_parts"))
+        part = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0)).cast("long")
+        dealt = dealt.join(few(parts), [shard, "_block"], "left").withColumn("_part", part).drop("_row", "_parts")
+        cells = dealt.groupBy(shard, "_block", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(shard).orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(shard, "_block", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(shard, "_block", "_part").orderBy(key, *ties)) - 1
     return (
         dealt.withColumn("_rank", rank)
-        .join(F.broadcast(cells) if blocks <= BLOCKS else cells, [shard, "_block"])  # at most shards * blocks rows
+        .join(few(cells), [shard, "_block", "_part"])
         .withColumn("slot", (F.col("_before") + F.col("_rank")).cast("long"))
-        .drop("_block", "_rank", "_before")
+        .drop("_block", "_part", "_rank", "_before")
     )
 
 
@@ -63,7 +76,7 @@ def shard_documents(docs: DataFrame, weights: list[float], grown_weight: float =
     """Law `key`: doc_id, size, text_crc32, law, shard, slot, grown_shard (the shard with one more of `grown_weight`)."""
     if blocks is None:  # the table is counted, which reads no column
         blocks = max(BLOCKS, -(-docs.select().count() // (len(weights) * BLOCK_ROWS)))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
