@@ -12,13 +12,13 @@ from cairnlog.llm.common import forget, written
 BROADCAST_ROWS, HOT_ROWS = 1_000_000, 100_000
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with a table that has each key once, however many rows have the same key.
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, size: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of `size` rows that has each key once, however many rows have the same key.
 
     A small table is broadcast. Beside a large one the rows of hot keys, of which there are few, are looked
     up in a broadcast part of it; the others are joined by the key.
     """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table), key, how)
     hot = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= HOT_ROWS).select(key), "hot")
     few = F.broadcast(hot)  # at most a row for each HOT_ROWS rows
@@ -46,19 +46,20 @@ def components(edges: DataFrame) -> DataFrame:
             .select("a", F.least("m", first("a"))["v"].alias("to"))
         )
         step = written(step, "step")
-        jump = _looked_up(step, step.select(F.col("a").alias("to"), F.col("to").alias("on")), "to").select("a", "on")
+        n = step.count()
+        jump = _looked_up(step, step.select(F.col("a").alias("to"), F.col("to").alias("on")), "to", n).select("a", "on")
         jump = written(jump, "jump")
         image = lambda old, new: jump.select(F.col("a").alias(old), F.col("on").alias(new))
         kept, was = edges, place
         edges = written(
-            _looked_up(_looked_up(edges, image("a", "x"), "a"), image("b", "y"), "b")
+            _looked_up(_looked_up(edges, image("a", "x"), "a", n), image("b", "y"), "b", n)
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct(),
             "edges",
         )
         place = written(
-            _looked_up(place, image("root", "x"), "root", "left").select("node", F.coalesce("x", "root").alias("root")), "place"
+            _looked_up(place, image("root", "x"), "root", n, "left").select("node", F.coalesce("x", "root").alias("root")), "place"
         )
         for old in (kept, was, step, jump):
             forget(old)
