@@ -96,10 +96,18 @@ def delete_strict(log: DataFrame, keys: DataFrame, dialect: str = "flag") -> tup
     return delete(log, keys.join(alive, "key", "left_semi")), keys.join(alive, "key", "left_anti")
 
 
-def rejected_deletes(log: DataFrame) -> DataFrame:
-    """Deletes in the log whose key was not live just before: its first row, or one after another delete."""
-    before = F.lag("deleted").over(Window.partitionBy("key").orderBy("seq"))
-    return log.withColumn("_was", before).where(F.col("deleted") & F.coalesce("_was", F.lit(True))).drop("_was")
+def rejected_deletes(log: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """Deletes in the log whose key was not live just before: its first row, or one after another delete.
+
+    Rows are looked at within spans of seq, and only each span's last state of a key goes on to the next, so the
+    rows of a hot key are many tasks' work.
+    """
+    rows = log.withColumn("_span", F.floor(F.col("seq") / span).cast("long"))
+    before = F.lag("deleted").over(Window.partitionBy("key", "_span").orderBy("seq"))
+    last = rows.groupBy("key", "_span").agg(F.max_by("deleted", "seq").alias("_last"))
+    carried = last.select("key", "_span", F.lag("_last").over(Window.partitionBy("key").orderBy("_span")).alias("_carried"))
+    seen = rows.withColumn("_was", before).where("deleted").join(carried.withColumnsRenamed({"key": "_key", "_span": "_at"}), F.col("key").eqNullSafe(F.col("_key")) & (F.col("_span") == F.col("_at")))
+    return seen.where(F.coalesce("_was", "_carried", F.lit(True))).select(*log.columns)
 
 
 def overwrite(base: DataFrame, delta: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ events put their properties, and a hundred events make a segment.
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +21,8 @@ from cairnlog.functions.binary import size_of
 from cairnlog.model import KEY_MAX, VALUE_MAX
 from cairnlog.operators import access, compact, runs, verify
 from cairnlog.operators.resolve import latest, live, newest
+from cairnlog.sources import folder
+from cairnlog.sources.rawlog import RawLogSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -376,3 +383,57 @@ def q36_corruption_report(spark, sf_dir):
     need = F.call_function("try_add", F.when(hit == 3, F.lit(2**63 - 1)).when(hit == 4, F.col("n") * 2).otherwise(F.lit(0)).cast("long"), F.col("n"))
     why = verify.block_reason(size, head, need, hit != 5)
     return verify.report(log.withColumn("seg", F.col("seg").cast("string")), why, F.col("n"), size)
+
+
+def _raw_folder(spark: SparkSession) -> str:
+    """A new folder for raw files that driver and executors see: below spark.checkpoint.dir, or a temporary one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base and base.removeprefix("file:").startswith("/"):
+        base = "/" + base.removeprefix("file:").lstrip("/")
+    elif spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="cairnlog-raw-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    else:
+        raise RuntimeError("raw files need a mounted folder: spark.checkpoint.dir")
+    path = os.path.join(base, f"raw-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+def _as_files(spark: SparkSession, sf_dir: str, **options) -> str:
+    """The event log as raw files of 64 KiB at most, in the order of seq."""
+    spark.dataSource.register(RawLogSource)
+    path = _raw_folder(spark)
+    rows = kv_log(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "deleted", F.col("seq").alias("tstamp"))
+    rows = rows.repartitionByRange(4, "tstamp").sortWithinPartitions("tstamp")
+    rows.write.format("rawlog").mode("append").options(path=path, limit=65536, **options).save()
+    return path
+
+
+def _text(*columns: str) -> list:
+    return [F.col(c).cast("string").alias(c) if c in ("key", "value") else F.col(c) for c in columns]
+
+
+@query(LATEST + " SELECT key, value, seq AS tstamp, strlen(value) AS value_sz FROM live WHERE value <> ''")
+def q37_folder_open(spark, sf_dir):
+    """The log is written as data files with hints; the folder is opened by the hints, and values are read where they lie."""
+    found = folder.values_at(folder.opened(spark, _as_files(spark, sf_dir, hints="true")))
+    return found.select(*_text("key", "value", "tstamp", "value_sz"))
+
+
+@query(LATEST + " SELECT key, value, seq AS tstamp FROM live WHERE value <> ''")
+def q38_folder_merge(spark, sf_dir):
+    """The same folder without hints after a merge."""
+    path = _as_files(spark, sf_dir)
+    folder.merge(spark, path, 65536)
+    return folder.values_at(folder.opened(spark, path)).select(*_text("key", "value", "tstamp"))
+
+
+@query(LATEST + " SELECT key, seq AS tstamp, deleted, CASE WHEN deleted THEN '' ELSE value END AS value FROM latest")
+def q39_wal_to_runs(spark, sf_dir):
+    """The log is written as WALs, which are turned into sorted runs; the newest run that has a key decides."""
+    runs_path = _raw_folder(spark)
+    folder.flush_wals(spark, _as_files(spark, sf_dir, kind="wal"), runs_path)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    entries = spark.read.format("runs").option("path", runs_path).load()
+    return newest(entries, ["key"], ["seg"]).select(*_text("key", "tstamp", "deleted", "value"))
