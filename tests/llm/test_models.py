@@ -304,6 +304,32 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-3 - g[k][i]) < 0.05 * abs(g[k][i]) + 1e-4, k
 
 
+def test_forward_pass_by_loops():
+    """The network's score, one byte, window and chunk at a time."""
+    q, net = quality, quality.ByteNet(5)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    r = np.random.default_rng(0)
+    p["b"] += 0.1 * r.standard_normal(q.FILTERS)
+    p["c"] += 0.1 * r.standard_normal(q.HIDDEN)
+    net.p = {k: v.astype(np.float32) for k, v in p.items()}
+    texts = ["", "abc", "Ünï " * 37, "some words of a text, " * 60, "x" * 511, "y" * 512, "z" * 513]
+    for text, score in zip(texts, net.score(texts)):
+        raw, unit = text.encode(), q.STEP * q.UNIT
+        raw = raw + b"\0" * (-(-(len(raw) + q.STEP) // unit) * unit - len(raw))
+        steps = [np.concatenate([p["E"][b] for b in raw[i : i + q.STEP]]) for i in range(0, len(raw), q.STEP)]
+        z = [np.maximum(0, steps[i] @ p["W1"] + steps[i + 1] @ p["W2"] + p["b"]) for i in range(len(steps) - 1)] + [np.zeros(q.FILTERS)]
+        units = [np.max(z[i : i + q.UNIT], 0) for i in range(0, len(z), q.UNIT)]
+        chunks, at = [], 0
+        while True:  # chunks overlap by one unit, and the last one reaches the end
+            chunks.append(np.max(units[at : at + q.CHUNK], 0))
+            if at + q.CHUNK >= len(units):
+                break
+            at += q.STRIDE
+        x = np.concatenate([np.max(chunks, 0), np.mean(chunks, 0)])
+        y = np.maximum(0, x @ p["H"] + p["c"]) @ p["o"] + p["d"]
+        assert abs(1 / (1 + np.exp(-y[0])) - score) < 1e-4
+
+
 def test_scores_do_not_depend_on_neighbours():
     net = quality.ByteNet(1)
     texts = ["a", "", None, "long text " * 50_000, "é" * 777, "x" * 124, "x" * 123, "x" * 128]
@@ -402,6 +428,47 @@ def test_context():
     assert d.score(["you are an idiot among very many other words"])[0] >= 0.5
 
 
+def test_score_by_hand():
+    """The score of plain texts from distances by dynamic programming and windows by hand."""
+    terms = ["moron", "worthless", "scum"]
+    d = toxicity.Detector(toxicity.FuzzyLexicon(terms))
+    vocabulary = ["moron", "morron", "boron", "worthless", "worthles", "wortless", "scum", "slum", "you", "said", "tree", "green", "walks", "over", "hill", "along"]
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        words = [str(w) for w in r.choice(vocabulary, r.integers(1, 40), p=[0.03] * 8 + [0.76 / 8] * 8)]
+        x = dict.fromkeys(toxicity.FEATURES, 0.0)
+        hits = {}
+        for i, w in enumerate(words):
+            near = [(distance(w, t), t) for t in terms if distance(w, t) <= toxicity.reach(t)]
+            if near:
+                far, t = min(near)
+                hits[i] = "loose" if far and (w[0] != t[0] or len(t) < 5) else "fuzzy" if far else "exact"
+        for i, kind in hits.items():
+            beside = [j for j in range(max(0, i - toxicity.WINDOW), min(len(words), i + toxicity.WINDOW + 1)) if j != i]
+            x[kind] += 1
+            if kind != "loose":
+                x["addressed"] += any(words[j] == "you" for j in beside)
+                x["crowded"] += any(hits.get(j) in ("exact", "fuzzy") for j in beside)
+        sums = np.array([v if v <= 5 else 5 + np.log(v - 4) for v in x.values()])
+        want = 1 / (1 + np.exp(-(toxicity.PRIOR[0] + sums @ toxicity.PRIOR[1:])))
+        assert abs(d.score([" ".join(words)])[0] - want) < 1e-9, words
+    assert d.score(["moron " * 40])[0] > d.score(["moron " * 6])[0] or d.score(["moron " * 6])[0] > 1 - 1e-12  # nothing is clipped
+
+
+def test_rare_insults_are_mined():
+    """An insult in a small share of toxic texts is a term, if that can't be chance; its length doesn't matter."""
+    r = np.random.default_rng(1)
+    word = lambda: "".join(r.choice(list("abdegiklmnorstu"), 7))
+    texts, labels = [], []
+    for i in range(2000):
+        words = [word() for _ in range(25)]
+        if i % 8 == 0:
+            words[4] = "zqx" if i % 160 == 0 else "grumblefordishnesslyhoodwards" if i % 160 == 8 else "idiot"
+        texts.append(" ".join(words)), labels.append(int(i % 8 == 0))
+    found = toxicity.mined(texts, labels)
+    assert {"zqx", "grumblefordishnesslyhoodwards", "idiot"} == set(found)
+
+
 def test_stems():
     """An insult that is always inflected differently; the bare stem, or one inflected word, is there by chance in clean texts."""
     rnd = np.random.default_rng(8)
