@@ -53,8 +53,17 @@ def forget(df: DataFrame | None) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all of this application's intermediate tables, once its results have been read or written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of whole texts, unless the session already has a smaller bound."""
+    """Bound the rows of Arrow batches of whole texts, unless the session already has a smaller bound.
+
+    Spark's own bound on a batch's bytes holds beside it. The setting stays, as plans run later.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -97,6 +97,14 @@ def test_secrets_in_lines_from_elsewhere(spark):
     assert len(met) >= 0.85 * len(want) and len(wrong) <= 0.15 * len(found)
 
 
+def test_secrets_of_the_tables(spark):
+    """Every secret planted in the tables, by a pattern that only the planting has, and nothing else."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = {(r.doc_id, m.start(1), 40) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    found = {(r.doc_id, r.start, r.length) for r in secret_scan.scan(docs, secret_scan.forest(spark)).where("is_secret").collect()}
+    assert len(want) > 10 and found == want
+
+
 def test_redaction_keeps_marks_and_columns(spark):
     key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
     texts = [f'a\ue000b\ue001c \ue001\ue002 \ue000\ue003 token = "{key}" \ue000', f'token = "{key}"', "\ue000", None]

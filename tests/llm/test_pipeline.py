@@ -42,5 +42,39 @@ def test_stages(spark, tmp_path):
     assert max(full.values()) <= 4096
 
 
+def test_stages_keep_odd_rows(spark, odd_docs, tmp_path):
+    """Null and repeated ids, clashing names and marks: each stage returns its columns and loses no text that it should keep."""
+    docs = odd_docs.withColumnsRenamed({"score": "_score", "seg": "_row", "root": "_n", "h": "_mix_row"})
+    texts = {r.text for r in docs.collect()}
+    labels = [(0, 1), (5, 0)]
+    sf = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString(), name
+        if name == "quality classifier":
+            continue  # what it keeps is for the model to say
+        found = Counter(r.text for r in out.collect())
+        if name == "SimHash near-dedup":
+            assert found.keys() < texts and sum(found.values()) == len(found)
+        else:
+            assert found.keys() == texts, name
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, sf)
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
+
+
+def test_clean(spark, docs):
+    from cairnlog.llm import common
+
+    kept = common.written(docs.select("doc_id"), "some")
+    assert kept.count() == docs.count()
+    common.clean(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(common.scratch(spark))
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
