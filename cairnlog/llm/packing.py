@@ -31,8 +31,8 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,9 @@ CAPACITY = 4096
 END = 1
 #: Steps (pieces tried, and lengths left at each node) of the search for fewer sequences than the incumbent has, before that
 #: stands. None: search to the end.
-NODES = 2_000_000
+NODES = 500_000
+#: Levels of the search that keep their fillings, and lengths that its memory of failed nodes has in all.
+LIVE, REMEMBERED = 16, 200_000
 #: Cells that the pieces of one length are dealt to for ranking, at least, and rows of a cell beyond which there are more.
 BLOCKS, BLOCK_ROWS = 256, 100_000
 
@@ -294,14 +296,27 @@ class _Spent(Exception):
     """The search has used up its nodes."""
 
 
+class _Level:
+    """A sequence that the search fills: the fillings to come, how many were tried, and the one in use, so many times."""
+
+    __slots__ = ("fillings", "tried", "barred", "room", "bin", "takes", "times")
+
+    def __init__(self, room: int, barred: tuple[int, ...] | None):
+        self.fillings, self.tried, self.barred, self.room = None, 0, barred, room
+        self.bin, self.takes, self.times = (), None, 0
+
+
 def _within(counts: dict[int, int], capacity: int, bins: int, nodes: int | None) -> tuple[list | None, bool, int]:
     """A plan of at most `bins` sequences if one is found, whether the answer is certain, and the nodes used.
 
     Depth first over sequences. A node fills one around the largest piece left, as often as the counts allow
     and then less often; the waste that `bins` sequences leave bounds its fillings. The best-fit solution of
     what is left ends a branch where it is good enough, and the lower bound of what is left where it is too high.
+    What is left is changed in place, and only the last LIVE levels keep their list of fillings (an earlier one is
+    made again where the search comes back to it), so memory hardly grows with the depth.
     """
-    spent, failed = 0, {}
+    left, levels = dict(counts), []
+    spent, failed, remembered = 0, {}, 0
 
     def tick(steps: int = 1) -> None:
         nonlocal spent
@@ -309,52 +324,58 @@ def _within(counts: dict[int, int], capacity: int, bins: int, nodes: int | None)
         if nodes is not None and spent > nodes:
             raise _Spent
 
-    def options(left: dict[int, int], room: int, barred: tuple[int, ...] | None):
-        """(filling, times, left after) of a node, the most times first."""
+    def change(level: _Level, sign: int) -> None:
+        for x, n in level.takes.items():
+            left[x] = left.get(x, 0) + sign * n * level.times
+            if not left[x]:
+                del left[x]
+
+    def options(level: _Level):
         top = max(left)
         rest = {**left, top: left[top] - 1}
-        waste = room * capacity - sum(x * n for x, n in left.items())
-        for found in fillings(rest, capacity - top, waste, tick):
-            bin_ = (top, *found)
-            if bin_ == barred:
-                continue
-            takes = Counter(bin_)
-            for times in range(min(min(left[x] // n for x, n in takes.items()), room), 0, -1):
-                yield bin_, times, {x: n - takes.get(x, 0) * times for x, n in left.items() if n > takes.get(x, 0) * times}
+        waste = level.room * capacity - sum(x * n for x, n in left.items())
+        return (f for f in fillings(rest, capacity - top, waste, tick) if (top, *f) != level.barred)
 
-    def opened(left: dict[int, int], room: int, barred) -> tuple[list | None, Iterator | None]:
-        """A finished plan, or the options of the node, or neither where it can't lead to one."""
+    def opened(room: int, barred: tuple[int, ...] | None) -> list | None:
+        """A plan of what is left, or None, with a new level if it is worth a search."""
         tick(len(left))
-        if least_bins(left, capacity) > room or failed.get(frozenset(left.items()), -1) >= room:
-            return None, None
+        if least_bins(left, capacity) > room or failed and failed.get(frozenset(left.items()), -1) >= room:
+            return None
         rest = best_fit(left, capacity)
         if sum(n for _, n in rest) <= room:
-            return rest, None
-        return None, options(left, room, barred)
+            return rest
+        levels.append(_Level(room, barred))
+        if len(levels) > LIVE:
+            levels[-LIVE - 1].fillings = None
+        return None
 
     try:
-        done, tries = opened(counts, bins, None)
-        path, stack = [], [(tries, counts, bins, None)] if tries else []
-        while stack and done is None:
-            tries, left, room, barred = stack[-1]
-            step = next(tries, None)
-            if step is None:
-                if barred is None:
-                    key = frozenset(left.items())
-                    failed[key] = max(room, failed.get(key, -1))
-                stack.pop()
-                if path:
-                    path.pop()
-                continue
-            bin_, times, after = step
+        done = opened(bins, None)
+        while levels and done is None:
+            level = levels[-1]
+            if level.takes is not None:
+                change(level, 1)
+                level.times -= 1
+            if not level.times:
+                if level.fillings is None:
+                    level.fillings = islice(options(level), level.tried, None)
+                found = next(level.fillings, None)
+                if found is None:
+                    if level.barred is None and remembered + len(left) <= REMEMBERED:
+                        key = frozenset(left.items())
+                        remembered += len(left)
+                        failed[key] = max(level.room, failed.get(key, -1))
+                    levels.pop()
+                    continue
+                level.tried += 1
+                level.bin = (max(left), *found)
+                level.takes = Counter(level.bin)
+                level.times = min(level.room, *(left[x] // n for x, n in level.takes.items()))
+            change(level, -1)
             # one time more was tried before, so the next sequence around the same piece is another one
-            same = bin_ if after and max(after) == bin_[0] else None
-            done, deeper = opened(after, room - times, same)
-            if done is not None or deeper is not None:
-                path.append((bin_, times))
-            if done is None and deeper is not None:
-                stack.append((deeper, after, room - times, same))
-        return (None if done is None else path + done), True, spent
+            same = level.bin if left and max(left) == level.bin[0] else None
+            done = opened(level.room - level.times, same)
+        return (None if done is None else [*((v.bin, v.times) for v in levels), *done]), True, spent
     except _Spent:
         return None, False, spent
 
