@@ -405,7 +405,7 @@ def _as_files(spark: SparkSession, sf_dir: str, **options) -> str:
     spark.dataSource.register(RawLogSource)
     path = _raw_folder(spark)
     rows = kv_log(spark, sf_dir).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "deleted", F.col("seq").alias("tstamp"))
-    rows = rows.repartitionByRange(4, "tstamp").sortWithinPartitions("tstamp")
+    rows = rows.repartitionByRange("tstamp").sortWithinPartitions("tstamp")
     rows.write.format("rawlog").mode("append").options(path=path, limit=65536, **options).save()
     return path
 

@@ -9,23 +9,24 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnlog.model import FILE_LIMIT
+from cairnlog.model import FILE_LIMIT, DataCorrupted
 from cairnlog.operators.resolve import newest
-from cairnlog.sources.rawlog import RawLogSource, file_number, in_order, names_in
+from cairnlog.sources.rawlog import RawLogSource, file_number, in_order, names_in, neighbours
 from cairnlog.sources.sstable import RunSource
 
 JOURNAL = ".journal"
 
 
-def _read(spark: SparkSession, path: str, kind: str, mode: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, kind: str, mode: str, values: bool = True) -> DataFrame:
     spark.dataSource.register(RawLogSource)
-    return spark.read.format("rawlog").option("path", path).option("kind", kind).option("mode", mode).load()
+    return spark.read.format("rawlog").options(path=path, kind=kind, mode=mode, values=str(values).lower()).load()
 
 
 def finish(path: str) -> None:
@@ -64,54 +65,68 @@ def opened(spark: SparkSession, path: str, mode: str = "truncate") -> DataFrame:
 
 def values_at(directory: DataFrame) -> DataFrame:
     """The rows of a key directory with `value`, read from its place in its file; files are read in order of place."""
-    where = directory.sortWithinPartitions("file", "value_pos")
+    return _values(directory.sortWithinPartitions("file", "value_pos"))
+
+
+def _values(where: DataFrame, checked: bool = False) -> DataFrame:
+    """The rows of a key directory, in their order, with `value`. checked: whole records are read, and their checksums looked at."""
 
     def run(batches):
         name, f = None, None
         for b in batches:
             out = []
-            for file, at, n in zip(*(b.column(c).to_pylist() for c in ("file", "value_pos", "value_sz"))):
+            for key, file, at, n in zip(*(b.column(c).to_pylist() for c in ("key", "file", "value_pos", "value_sz"))):
                 if file != name:
                     if f:
                         f.close()
                     name, f = file, open(file, "rb")  # noqa: SIM115
-                f.seek(at)
-                out.append(f.read(n))
+                before = 28 + len(key) if checked else 0
+                f.seek(at - before)
+                got = f.read(before + n)
+                if checked and zlib.crc32(got[4:]) != int.from_bytes(got[:4], "little"):
+                    raise DataCorrupted(file, at - before, "CrcMismatch")
+                out.append(got[before:])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "value"])
         if f:
             f.close()
 
-    return where.mapInArrow(run, T.StructType([*directory.schema.fields, T.StructField("value", T.BinaryType())]))
+    return where.mapInArrow(run, T.StructType([*where.schema.fields, T.StructField("value", T.BinaryType())]))
 
 
 def merge(spark: SparkSession, path: str, limit: int = FILE_LIMIT) -> None:
     """Rewrite all files but the newest to the records that are live, with hints; every record's checksum is looked at.
 
     A bad record fails the merge, and nothing is changed then. The new files take the last of the old ones' numbers,
-    so that the newest file stays the newest. Files are of about `limit` bytes.
+    so that the newest file stays the newest. Files are of about `limit` bytes, larger if there were fewer old ones.
+    Keys are resolved without values; the files are then divided among tasks, in their order, and each reads and writes what is live in its own.
     """
     finish(path)
     numbered = [n for n in names_in(path, "data") if file_number(n) is not None]
     if len(numbered) < 2:
         return
-    rows = _read(spark, path, "data", "failfast")
-    live = newest(rows.select("key", "seq", "deleted"), ["key"], ["seq"]).where("NOT deleted").select("key", "seq")
-    active = os.path.join(path, numbered[-1])
-    kept = rows.where(F.col("file") != active).join(live, ["key", "seq"], "left_semi")
-    old = [n for n in names_in(path, "data") if n != numbered[-1]]
-    size = sum(os.path.getsize(os.path.join(path, n)) for n in old)
-    files = max(1, min(len(old), -(-size // limit)))
+    names = names_in(path, "data")
+    place, old = names.index(numbered[-1]), [n for n in names if n != numbered[-1]]
+    rows = _read(spark, path, "data", "failfast", values=False)
+    live = newest(rows.select("key", "seq", "deleted", "tstamp", "value_pos", "value_sz", "seg"), ["key"], ["seq"])
+    live = live.where(F.col("seg") != place).where("NOT deleted")
+    sizes = [os.path.getsize(os.path.join(path, n)) for n in old]
+    tasks = neighbours(sizes)
+    # a task ends with a file that may be small: that many fewer are left for whole ones, as there are no more numbers than old files
+    target = max(limit, -(-sum(sizes) // (len(old) - len(tasks) + 1)))
     staging = os.path.join(path, ".merge")
     for name in os.listdir(staging) if os.path.isdir(staging) else ():
         os.remove(os.path.join(staging, name))  # of a merge that was given up
-    kept = kept.select("key", "value", "deleted", "tstamp", "seq").repartitionByRange(files, "seq").sortWithinPartitions("seq")
-    kept.write.format("rawlog").mode("append").option("path", staging).option("hints", "true").option("limit", 1 << 62).save()
+    segs = {n: i for i, n in enumerate(names)}
+    files = [(segs[old[i]], os.path.join(path, old[i]), t) for t, group in enumerate(tasks) for i in group]
+    live = live.join(F.broadcast(spark.createDataFrame(files, "seg long, file string, task int")), "seg")
+    kept = _values(live.repartitionById(len(tasks), "task").sortWithinPartitions("seq"), checked=True).select("key", "value", "deleted", "tstamp")
+    kept.write.format("rawlog").mode("append").options(path=staging, hints="true", limit=1 << 62, target=target).save()
     made = names_in(staging, "data") if os.path.isdir(staging) else []
     new = []
     for name, to in zip(made, in_order(old)[len(old) - len(made) :]):
         for kind in ("data", "hint"):
             new.append((os.path.join(".merge", f"{name.rsplit('.', 1)[0]}.{kind}"), f"{to.rsplit('.', 1)[0]}.{kind}"))
-    hints = {n for n in os.listdir(path) if n.endswith(".hint") and f"{n[:-5]}.data" in set(old)}
+    hints = {n for n in os.listdir(path) if n.endswith(".hint")}
     _begin(path, [x for n in old for x in (f"{n[:-5]}.hint", n) if x == n or x in hints], new)
     finish(path)
 

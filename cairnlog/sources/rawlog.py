@@ -4,14 +4,16 @@
     spark.read.format("rawlog").option("path", folder).option("kind", "data").load()
 
 Kinds are `data`, `hint` and `wal`; `keys` reads every file's hints where it has any, else its data, without
-values: what opening a folder needs. A file is one partition, read record by record in bounded buffers.
+values: what opening a folder needs; the option `values` set to false leaves values out of other kinds too. Small files
+that follow each other share a partition, a file is never split, and all are read record by record in bounded buffers.
 `mode` says what a bad record does: `truncate` ends its file and keeps what came before, `failfast`
 raises DataCorrupted, and `report` gives it as a row with its reason; a key that isn't UTF-8 is a bad record
 of a data or hint file. Files are ordered by the number in their name, other names first. The folder must be
 visible to the executors as a path; `read_files` reads one in any store that Spark reads.
 
 Writing appends: every file gets a number after all that the folder has, and none is ever replaced. Data files
-get their hint files beside them if the option `hints` is true.
+get their hint files beside them if the option `hints` is true. `limit` is the most bytes of a file; with `target`
+a file ends once it has that many.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ import struct
 import time
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from cairnlog.model import FILE_LIMIT, KEY_MAX, TAG_DELETE, TAG_PUT, VALUE_MAX, DataCorrupted, SizeLimit
@@ -34,6 +37,10 @@ SCHEMA = "file string, seg long, pos long, seq long, tstamp long, key binary, va
 
 
 KINDS = ("data", "hint", "wal")
+#: Bytes of files that a task reads, and bytes that opening a file counts for.
+SPLIT, OPEN_COST = 8 << 20, 16 << 10
+#: Most rows of an Arrow batch, and bytes of keys and values from which it ends.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 
 def new_timestamp() -> int:
@@ -160,6 +167,36 @@ def names_in(path: str, kind: str) -> list[str]:
     return in_order([f"{s}.hint" if s in hints else f"{s}.data" for s in stems])
 
 
+def neighbours(sizes: list[int], most: int = SPLIT) -> list[range]:
+    """Places of files of these sizes in groups of about `most` bytes: only files that follow each other, each in one group."""
+    out, first, filled = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and filled + n + OPEN_COST > most:
+            out.append(range(first, i))
+            first, filled = i, 0
+        filled += n + OPEN_COST
+    return [*out, range(first, len(sizes))] if sizes else []
+
+
+def batches_of(rows: Iterable[tuple], schema: pa.Schema, sized: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, bounded by rows and by the bytes of the columns `sized`."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        for i in sized:
+            size += len(row[i] or b"")
+        if len(some) == BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), schema.types)], schema=schema)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(name, types[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+
 def publish(folder: str, made: list[list[str]]) -> list[str]:
     """Give groups of finished hidden files their names: a new number for each group, and none is replaced.
 
@@ -185,9 +222,17 @@ def publish(folder: str, made: list[list[str]]) -> list[str]:
     return out
 
 
-class _File(InputPartition):
-    def __init__(self, name: str, seg: int):
-        self.name, self.seg = name, seg
+class Files(InputPartition):
+    """Files by name and place among all."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+    @staticmethod
+    def of(path: str, names: list[str]) -> list[Files]:
+        """Files of a folder, in their order, as partitions."""
+        full = [os.path.join(path, n) for n in names]
+        return [Files([(full[i], i) for i in group]) for group in neighbours([os.path.getsize(n) for n in full])]
 
 
 def rows_of(f, name: str, size: int, seg: int, kind: str, mode: str, values: bool = True) -> Iterator[tuple]:
@@ -204,16 +249,21 @@ def rows_of(f, name: str, size: int, seg: int, kind: str, mode: str, values: boo
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind, self.mode = options["path"], options.get("kind", "data"), options.get("mode", "truncate")
+        self.values = self.kind != "keys" and options.get("values", "true").lower() == "true"
         if self.kind not in (*KINDS, "keys"):
             raise ValueError(f"no such kind of file: {self.kind}")
 
     def partitions(self):
-        return [_File(os.path.join(self.path, n), i) for i, n in enumerate(names_in(self.path, self.kind))]
+        return Files.of(self.path, names_in(self.path, self.kind))
+
+    def _rows(self, partition: Files) -> Iterator[tuple]:
+        for name, seg in partition.files:
+            kind = self.kind if self.kind != "keys" else name.rsplit(".", 1)[1]
+            with open(name, "rb", buffering=1 << 20) as f:
+                yield from rows_of(f, name, os.path.getsize(name), seg, kind, self.mode, self.values)
 
-    def read(self, partition: _File):
-        kind = self.kind if self.kind != "keys" else partition.name.rsplit(".", 1)[1]
-        with open(partition.name, "rb", buffering=1 << 20) as f:
-            yield from rows_of(f, partition.name, os.path.getsize(partition.name), partition.seg, kind, self.mode, self.kind != "keys")
+    def read(self, partition: Files):
+        return batches_of(self._rows(partition), arrow_schema(SCHEMA), (5, 6))
 
 
 def read_files(spark: SparkSession, path: str, kind: str = "data", mode: str = "truncate") -> DataFrame:
@@ -239,12 +289,13 @@ class _Commit(WriterCommitMessage):
         self.groups = groups
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Appends rows (key, value, deleted, tstamp), or hints (key, tstamp, value_sz, value_pos), as files of at most `limit`
-    bytes, except for one larger record."""
+    bytes, except for one larger record. With `target`, every file of a task but its last has at least so many bytes."""
 
     def __init__(self, options: dict, schema: StructType):
         self.path, self.kind, self.limit = options["path"], options.get("kind", "data"), int(options.get("limit", FILE_LIMIT))
+        self.target = int(options.get("target", self.limit))
         if self.kind not in KINDS:
             raise ValueError(f"no such kind of file: {self.kind}")
         self.hints = self.kind == "data" and options.get("hints", "false").lower() == "true"
@@ -253,18 +304,17 @@ class _Writer(DataSourceWriter):
 
     def _record(self, row) -> tuple[bytes, bytes, int, int]:
         """The record, its key, time and size of value."""
-        key, tstamp, a, b = (row[i] for i in self.at)
-        key = bytes(key)
+        key, tstamp, a, b = row
         if self.kind == "hint":
             return encode_hint(key, tstamp, a, b), key, tstamp, a
-        value = None if b else bytes(a or b"")
+        value = None if b else a or b""
         if self.kind == "wal":
             if len(key) > KEY_MAX or len(value or b"") > VALUE_MAX:
                 raise SizeLimit(f"key of {len(key)} or value of {len(value or b'')} bytes is above the limit")
             return encode_wal(tstamp, key, value), key, tstamp, len(value or b"")
         return encode_data(tstamp, key, value or b""), key, tstamp, len(value or b"")
 
-    def write(self, rows):
+    def write(self, batches):
         os.makedirs(self.path, exist_ok=True)
         groups, files, size = [], [], 0
 
@@ -274,9 +324,9 @@ class _Writer(DataSourceWriter):
                 os.fsync(f.fileno())
                 f.close()
 
-        for row in rows:
+        for row in (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in self.at))):
             out, key, tstamp, n = self._record(row)
-            if not files or size and size + len(out) > self.limit:
+            if not files or size and (size + len(out) > self.limit or size >= self.target):
                 end()
                 stem = os.path.join(self.path, f".{uuid.uuid4().hex}")
                 groups.append([f"{stem}.{self.kind}", *([f"{stem}.hint"] if self.hints else [])])

@@ -228,3 +228,98 @@ def test_runs(spark, tmp_path):
     (tmp_path / "tiny.sst").write_bytes(b"abc")
     with pytest.raises(DataCorrupted, match="LengthMismatch"):
         sstable.Run(str(tmp_path / "tiny.sst"))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """q37 to q39: tasks grow with the bytes of a folder, not with its files."""
+    for i in range(400):
+        (tmp_path / f"{i}.data").write_bytes(rawlog.encode_data(i, b"k%d" % (i % 7), b"v%d" % i) + rawlog.encode_data(i, b"old%d" % i, b"" if i % 2 else b"w"))
+    found = rows(spark, tmp_path)
+    assert found.rdd.getNumPartitions() == 1 and rows(spark, tmp_path, "keys").rdd.getNumPartitions() == 1
+    got = sorted(found.collect(), key=lambda r: r.seq)
+    assert [(os.path.basename(r.file), r.seg, r.tstamp) for r in got] == [(f"{i}.data", i, i) for i in range(400) for _ in range(2)]
+    assert rows(spark, tmp_path, mode="report").where("reason IS NULL").count() == 800
+    (tmp_path / "200.data").write_bytes(rawlog.encode_data(1, b"k", b"v") + b"short")  # ends its own file only
+    assert rows(spark, tmp_path).count() == 799
+
+
+def test_neighbours():
+    import random
+
+    rnd = random.Random(3)
+    for most in (1, 10**5, 10**6):
+        sizes = [rnd.choice([0, 10, 10**4, 10**6]) for _ in range(100)]
+        groups = rawlog.neighbours(sizes, most)
+        assert [i for g in groups for i in g] == list(range(100))
+        assert all(len(g) == 1 or sum(sizes[i] + rawlog.OPEN_COST for i in g) <= most for g in groups)
+    assert rawlog.neighbours([]) == [] and rawlog.neighbours([5]) == [range(1)]
+
+
+def test_merge_of_many_files(spark, tmp_path, monkeypatch):
+    """Files of `limit` bytes and no more of them than there were, whatever the old ones' sizes, with few tasks or many."""
+    import random
+
+    from cairnlog.sources import folder
+
+    rnd = random.Random(5)
+    for case, (limit, split) in enumerate([(4096, 8 << 20), (1, 8 << 20), (4096, 1), (1, 40_000), (1 << 20, 40_000)]):
+        monkeypatch.setattr(folder, "neighbours", lambda sizes, split=split: rawlog.neighbours(sizes, split))
+        path, want, number = tmp_path / str(case), {}, 0
+        path.mkdir()
+        for number in range(60):
+            out = b""
+            for _ in range(rnd.choice([0, 1, 40])):
+                key, value = b"k%d" % rnd.randrange(300), bytes(rnd.randrange(1, 256) for _ in range(rnd.choice([0, 5, 50, 3000 if number == 17 else 9])))
+                want[key] = value
+                out += rawlog.encode_data(number, key, value)
+            (path / f"{number + 2}.data").write_bytes(out)
+        active = (path / f"{number + 2}.data").read_bytes()
+        folder.merge(spark, str(path), limit)
+        assert folder_rows(spark, path) == {k: v for k, v in want.items() if v}
+        kept = {n: (path / n).stat().st_size for n in os.listdir(path) if n.endswith(".data") and n != f"{number + 2}.data"}
+        assert (path / f"{number + 2}.data").read_bytes() == active and len(kept) <= 59 and {f"{n[:-5]}.hint" for n in kept} == {n for n in os.listdir(path) if n.endswith(".hint")}
+        if split > 1 << 20 and limit == 4096:
+            assert all(n >= limit for n in [kept[n] for n in rawlog.in_order(list(kept))][:-1])
+
+
+def test_merge_of_what_is_all_dead(spark, tmp_path):
+    from cairnlog.sources import folder
+
+    spark.dataSource.register(rawlog.RawLogSource)
+    write_data(spark, tmp_path, [("ash", "1"), ("elm", None)], 1)
+    write_data(spark, tmp_path, [("oak", "1")], 1)
+    write_data(spark, tmp_path, [("ash", None), ("oak", None)], 2)
+    folder.merge(spark, str(tmp_path))
+    assert folder_rows(spark, tmp_path) == {} and [n for n in os.listdir(tmp_path) if n.endswith((".data", ".hint"))] == ["2.data"]
+
+
+def test_merge_reads_values_with_checksums(spark, tmp_path):
+    """Values are read after keys were resolved; what has gone bad by then is not given a new checksum."""
+    from cairnlog.sources import folder
+
+    spark.dataSource.register(rawlog.RawLogSource)
+    write_data(spark, tmp_path, [("ash", "1"), ("elm", "22")], 1)
+    found = folder._read(spark, str(tmp_path), "data", "failfast", values=False)
+    assert found.where("value IS NOT NULL").count() == 0
+    assert [bytes(r.value) for r in folder._values(found.drop("value"), checked=True).collect()] == [b"1", b"22"]
+    listed = spark.createDataFrame(found.drop("value").collect(), found.drop("value").schema)
+    whole = (tmp_path / "0.data").read_bytes()
+    (tmp_path / "0.data").write_bytes(whole[:-1] + b"X")
+    with pytest.raises(Exception, match="CrcMismatch"):
+        folder._values(listed, checked=True).collect()
+
+
+def test_events_are_written_by_all_cores(spark, tmp_path):
+    """The files of q37 to q39 were written by four tasks, however large the table and many the cores."""
+    from cairnlog.plans import catalogue
+
+    made = spark.range(600_000).selectExpr("id AS event_id", "id % 1000 AS user_id", "if(id % 5 = 0, 'error', 'view') AS event_type", "sha2(cast(id AS string), 256) AS props")
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    tracker, group = spark.sparkContext.statusTracker(), "events-written"
+    spark.sparkContext.setJobGroup(group, group)
+    path = catalogue._as_files(spark, str(tmp_path))
+    job = tracker.getJobInfo(max(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert tracker.getStageInfo(max(job.stageIds)).numTasks > 4
+    back = rows(spark, path, mode="failfast").select("seq", "tstamp").orderBy("seq").collect()
+    assert [r.tstamp for r in back] == list(range(600_000))
