@@ -144,10 +144,10 @@ def flush_wals(spark: SparkSession, path: str, runs: str, mode: str = "truncate"
     os.makedirs(runs, exist_ok=True)
     spark.dataSource.register(RunSource)
     first = max((n for x in os.listdir(runs) if (n := file_number(x)) is not None), default=-1) + 1
-    rows = newest(_read(spark, path, "wal", mode), ["seg", "key"], ["seq"])
-    rows = rows.select("key", "value", "deleted", "tstamp", (F.col("seg") + first).alias("run"))
-    rows = rows.repartition(len(names), "run").sortWithinPartitions("run", "key")
-    rows.write.format("runs").mode("append").option("path", runs).save()
+    # a task reads whole WALs: sorting within it is enough
+    rows = _read(spark, path, "wal", mode).select("key", "value", "deleted", "tstamp", (F.col("seg") + first).alias("run"), "seq")
+    rows = rows.sortWithinPartitions("run", "key", F.desc("seq")).drop("seq")
+    rows.write.format("runs").mode("append").options(path=runs, repeats="first").save()
     _begin(path, names, [])
     finish(path)
     return len(names)

@@ -323,3 +323,46 @@ def test_events_are_written_by_all_cores(spark, tmp_path):
     assert tracker.getStageInfo(max(job.stageIds)).numTasks > 4
     back = rows(spark, path, mode="failfast").select("seq", "tstamp").orderBy("seq").collect()
     assert [r.tstamp for r in back] == list(range(600_000))
+
+
+def test_many_wals_become_runs(spark, tmp_path):
+    """q39: a task reads and writes many WALs, and each gives the run it would give alone."""
+    from cairnlog.sources import folder, sstable
+
+    wal, out = tmp_path / "wal", tmp_path / "runs"
+    wal.mkdir()
+    out.mkdir()
+    sstable.write_run(str(out / "4.sst"), [(b"k1", b"before", False, 0)])
+    want = {}
+    for i in range(300):
+        ops = [(b"k%d" % (j * i % 5), None if (i + j) % 4 == 0 else b"v%d.%d" % (i, j)) for j in range(i % 9)]
+        (wal / f"{i}.wal").write_bytes(b"".join(rawlog.encode_wal(10 * i + j, k, v) for j, (k, v) in enumerate(ops)) + (b"\x09" if i % 50 == 7 else b""))
+        last = {k: (k, v or b"", v is None, 10 * i + j) for j, (k, v) in enumerate(ops)}
+        if last:
+            want[i + 5] = [last[k] for k in sorted(last)]
+    assert rows(spark, wal, "wal").rdd.getNumPartitions() == 1
+    tracker, group = spark.sparkContext.statusTracker(), "flushed"
+    spark.sparkContext.setJobGroup(group, group)
+    assert folder.flush_wals(spark, str(wal), str(out)) == 300
+    tasks = [s.numTasks for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds if (s := tracker.getStageInfo(i))]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(tasks) == 1
+    assert {int(n[:-4]): list(sstable.Run(str(out / n)).entries()) for n in os.listdir(out)} == {4: [(b"k1", b"before", False, 0)], **want}
+    spark.dataSource.register(sstable.RunSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
+    back = spark.read.format("runs").option("path", str(out)).load()
+    assert back.rdd.getNumPartitions() == 1 and back.count() == 1 + sum(map(len, want.values()))
+    assert sorted(int(os.path.basename(r.file)[:-4]) for r in back.where(f"key = X'{b'k1'.hex()}'").collect()) == sorted(i for i, r in {**want, 4: [(b"k1",)]}.items() if any(e[0] == b"k1" for e in r))
+
+
+def test_filter_bits_are_those_of_single_keys():
+    import struct
+
+    from cairnlog.sources import sstable
+
+    for keys in ([], [b""], [b"a", b"b" * 99], [b"k%d" % i for i in range(3000)]):
+        words = [0] * max(1, -(-len(keys) * sstable.BLOOM_BITS_PER_KEY // 64))
+        for k in keys:
+            for p in sstable.bloom_positions(k, 64 * len(words) - 1):
+                words[p >> 6] |= 1 << (p & 63)
+        assert sstable.filter_words(keys) == struct.pack(f"<{len(words)}Q", *words)
